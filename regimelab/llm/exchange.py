@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import column_name, parts, text_bytes
 
 ROW = "bucket int, batch int, kind int, blob binary"
-BATCH_BYTES, BUCKET_BYTES = 14 << 20, 12 << 20
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 FIRST, HITS, SECOND, ANSWER = range(4)
 
 

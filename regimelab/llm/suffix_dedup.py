@@ -24,26 +24,30 @@ from pyspark.sql import types as T
 from .common import MULTIPLIERS, U64, column_name, flat, mix, ranges
 from .exchange import ANSWER, FIRST, SECOND, Records, bounds, looked_at, rows, unpacked
 
-GRAM, STRIDE = 24, 20
-CHUNK = 1 << 22  # positions hashed at once
-MERGE_BYTES, SHARDS = 1 << 20, 4
+GRAM, STRIDE = 40, 20
+CHUNK = 1 << 18  # positions hashed at once
+MERGE_BYTES, SHARDS = 1 << 19, 4
 MANY = 50_000  # pieces of one anchor; beyond it each window travels alone, dealt by its own hash
 
 
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[20])
+
+
 def _block_hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every n consecutive bytes, put together from runs of 1, 2, 4, ... bytes."""
+    """A polynomial hash of every n consecutive bytes, put together from runs of 1, 2, 4, ... bytes, then mixed."""
     count = len(data) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    run, size, out, done = mix(data.astype(np.uint64) + U64(1)), 1, None, 0
+    run, size, factor, out, done = _BYTES[data], 1, MULTIPLIERS[21:22], None, 0
     while True:
         if n & size:
-            out = run[:count].copy() if out is None else mix(out * MULTIPLIERS[20] + run[done : done + count] * MULTIPLIERS[21 + size.bit_length()])
+            out = run[:count].copy() if out is None else out * factor + run[done : done + count]
             done += size
         if done == n:
-            return out
-        run = mix(run[:-size] * MULTIPLIERS[40] + run[size:] * MULTIPLIERS[41])
-        size *= 2
+            return mix(out)
+        longer = run[:-size] * factor
+        longer += run[size:]
+        run, size, factor = longer, 2 * size, factor * factor
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
@@ -259,9 +263,12 @@ def _meet_pieces(length: int):
         earliest = pick[np.cumsum(head) - 1]
         later = order[(ids[order] > ids[earliest]) | (starts[order] > starts[earliest])]
         bits[ranges(first[later], windows[later])] = True
+        # A piece alone in its group has nothing to meet: its own windows differ, for they stand differently to the anchor.
+        new = np.concatenate([[True], np.diff(group[pick]) != 0])
+        held = np.diff(np.append(np.flatnonzero(new), len(pick)))
+        pick, new = pick[np.repeat(held > 1, held)], new[np.repeat(held > 1, held)]
         # Groups one after another, in runs of about MERGE_BYTES that never part a group.
         ends = np.cumsum(sizes[pick])
-        new = np.concatenate([[True], np.diff(group[pick]) != 0])
         begin = 0
         while begin < len(pick):
             base = ends[begin - 1] if begin else 0
