@@ -12,10 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, ranges, slices
+from .common import flat, parts, ranges, slices
 
-MOST_CACHED = 400_000  # words a worker remembers before it starts anew
+MOST_CACHED = 300_000  # words a worker remembers before it starts anew
 PUNCTUATION = ".,!?;:%&$#*"
+LATIN = 0x250  # below it, Unicode's letters are old and stay what they are
 
 
 @functools.cache
@@ -30,66 +31,95 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+@functools.cache
+def _byte_letters() -> dict[int, str]:
+    """For each code point below LATIN, its UTF-8 bytes as byte-level tokenizers write them: printable bytes as they are, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(LATIN)}
+
+
 class WordIds:
-    """Ids of whole texts for a tokenizer that drops white space and never joins across it.
+    """Ids of whole texts for a tokenizer that lowers letters, drops white space and never joins across it.
 
     Each distinct word is encoded once: texts are cut at ASCII white space, and a word at the place where a letter a-z
-    is followed by closing punctuation, which the tokenizer's own pattern always cuts too.
+    is followed by closing punctuation, which the tokenizer's own pattern always cuts too. A word of Latin letters alone
+    is one piece for that pattern, so its ids come straight from the tokenizer's model.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.known = 0
         self.ids = np.zeros(1 << 20, np.uint32)
         self.start = np.zeros(1 << 18, np.int64)
 
-    def _add(self, word: str, ids) -> int:
-        n, end = self.known, int(self.start[self.known])
-        while end + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if n + 2 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.ids[end : end + len(ids)] = ids
-        self.start[n + 1] = end + len(ids)
-        self.slot[word] = n
-        self.known = n + 1
-        return n
-
-    def _learn(self, fresh: list[str]) -> None:
-        """Encodes words; of a word with closing punctuation, its two parts."""
-        parted = {}
-        for word in fresh:
-            base = word.rstrip(PUNCTUATION)
-            if len(base) < len(word) and base and "a" <= base[-1] <= "z":
-                parted[word] = (base, word[len(base) :])
-        single = [w for w in dict.fromkeys([*(w for w in fresh if w not in parted), *(x for two in parted.values() for x in two)]) if w not in self.slot]
-        for word, got in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)):
-            self._add(word, got.ids)
-        for word, (base, tail) in parted.items():
-            a, b = self.slot[base], self.slot[tail]
-            self._add(word, np.concatenate([self.ids[self.start[a] : self.start[a + 1]], self.ids[self.start[b] : self.start[b + 1]]]))
+    def _word(self, word: str) -> list[int]:
+        if word.isascii() and word.isalpha():
+            return [t.id for t in self.model.tokenize(word.lower())]
+        if word.isalpha() and ord(max(word)) < LATIN and "\u0130" not in word:
+            return [t.id for t in self.model.tokenize(word.lower().translate(_byte_letters()))]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        fresh = [w for w in dict.fromkeys(words) if w not in self.slot]
+        if fresh:
+            found, sizes = [], []
+            for word in fresh:
+                got = self._word(word)
+                found += got
+                sizes.append(len(got))
+            known = len(self.slot)
+            end = int(self.start[known])
+            while end + len(found) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while known + len(fresh) + 1 > len(self.start):
+                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.ids[end : end + len(found)] = found
+            self.start[known + 1 : known + 1 + len(fresh)] = end + np.cumsum(sizes)
+            self.slot.update(zip(fresh, range(known, known + len(fresh))))
+        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+
+    def _parted(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word's first part, and its closing punctuation where that follows a letter a-z, or nothing."""
+        data, at = flat(words)
+        size = np.diff(flat(pc.ascii_rtrim(words, characters=PUNCTUATION))[1])
+        last = data[at[:-1] + np.maximum(size, 1) - 1] if len(data) else np.zeros(len(words), np.uint8)
+        whole = np.diff(at)
+        size = np.where((size > 0) & (last >= ord("a")) & (last <= ord("z")), size, whole)
+
+        def cut(begin: np.ndarray, length: np.ndarray) -> pa.Array:
+            ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+            return pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(data[ranges(begin, length)])])
+
+        return cut(at[:-1], size), cut(at[:-1] + size, whole - size)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's ids start. Null texts are empty."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        if len(self.slot) > MOST_CACHED:
+            self.clear()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         offsets = split.offsets.to_numpy().astype(np.int64)
         values = split.values.slice(offsets[0], offsets[-1] - offsets[0])
         offsets -= offsets[0]
         coded = values.dictionary_encode()
-        words = [w.decode("utf-8", "replace") for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
-        if self.known > MOST_CACHED:
-            self.clear()
-        fresh = [w for w in words if w not in self.slot]
-        if fresh:
-            self._learn(list(dict.fromkeys(fresh)))
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        sizes = self.start[slots + 1] - self.start[slots]
-        ids = self.ids[ranges(self.start[slots], sizes)]
-        return ids, np.concatenate([[0], np.cumsum(sizes)])[offsets]
+        slots = []
+        for part in self._parted(pc.ascii_lower(coded.dictionary)):  # of a new array, for ascii_lower errs on a slice
+            each = part.dictionary_encode()
+            known = self._slots([w.decode("utf-8", "replace") for w in each.dictionary.to_pylist()])
+            slots.append(known[each.indices.to_numpy()])
+        pairs = np.stack(slots, 1)
+        sizes = self.start[pairs + 1] - self.start[pairs]
+        of_word = self.ids[ranges(self.start[pairs].ravel(), sizes.ravel())]
+        sizes = sizes.sum(1)
+        begin = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        ids = of_word[ranges(begin[codes], sizes[codes])]
+        return ids, np.concatenate([[0], np.cumsum(sizes[codes])])[offsets]
 
 
 @functools.cache
