@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, ranges, written
 
 RATE, FRAME, HOP = 11025, 4096, 1365
 LOW_HZ, HIGH_HZ = 28.0, 3520.0
@@ -26,7 +26,7 @@ WIDTH = 16
 FILTERS = [(i % 6, (5 * i) % (12 - (3 + i % 4) + 1), 3 + i % 4, 4 + (5 * i) % (WIDTH - 3)) for i in range(16)]
 STEPS = (-0.04, 0.0, 0.04)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-SALTS = 4
+QUERY_BLOCK, BLOCK, MOST_MET = 10_000, 20_000, 1_000_000
 
 
 def decode_wav(column: pa.Array) -> list[np.ndarray]:
@@ -116,64 +116,107 @@ def fingerprints(recordings: DataFrame, id_col: str, audio_col: str, decode: Cal
     return recordings.select(F.col(f"`{id_col}`").cast("long").alias("rec_id"), F.col(f"`{audio_col}`").alias("audio")).mapInArrow(rows, "rec_id long, fingerprint array<int>")
 
 
-def _votes(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Of queries (left) and recordings that share integers of one bucket: rows (query_id, rec_id, offset, votes)."""
-    q, qi, qp = (left.column(c).to_numpy() for c in ("rec_id", "code", "at"))
-    r, ri, rp = (right.column(c).to_numpy() for c in ("rec_id", "code", "at"))
-    order = np.argsort(qi, kind="stable")
-    q, qi, qp = q[order], qi[order], qp[order]
-    got = []
-    for lo in range(0, len(r), 4096):
-        a, b = np.searchsorted(qi, ri[lo : lo + 4096]), np.searchsorted(qi, ri[lo : lo + 4096], "right")
-        rec = lo + np.repeat(np.arange(len(a)), b - a)
-        if len(rec):
-            mine = np.repeat(a, b - a) + np.arange(len(rec)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-            triple, count = np.unique(np.stack([q[mine], r[rec], rp[rec] - qp[mine]]), axis=1, return_counts=True)
-            got.append(np.concatenate([triple, count[None]]))
-    out = np.concatenate(got, 1) if got else np.zeros((4, 0), np.int64)
-    if out.shape[1]:
-        triple, back = np.unique(out[:3], axis=1, return_inverse=True)
-        out = np.concatenate([triple, np.bincount(back.ravel(), out[3]).astype(np.int64)[None]])
-    out = out[:, out[0] != out[1]]
-    return pa.table({"query_id": out[0], "rec_id": out[1], "offset": out[2], "votes": out[3]})
-
-
-def aligned(prints: DataFrame, queries: DataFrame, most_error: float = 0.15, least_votes: int = 2, least_overlap: int = 8) -> DataFrame:
-    """A row for each query and other recording that align: query_id, rec_id, offset, votes, overlap, bit_errors, error_rate.
-
-    prints and queries: rec_id, fingerprint. Integers of a query vote for the offset (of the recording against the query,
-    in frames) at which the recording has the same integer but for one bit at most; the offset with most votes counts,
-    of equals the least in size, then the negative one. Kept are pairs with least_votes of them,
-    least_overlap frames and a share of differing bits of at most most_error.
-
-    Rows without an id or with an empty fingerprint align with nothing. Of rows that repeat an id one counts, the least.
-    Integers are dealt into buckets, and each bucket's recordings into salted parts with all of the bucket's queries, so
-    an integer that many recordings share stays dealt out; pairs are counted where they meet and travel once a bucket.
+def _popcount(prints: np.ndarray, others: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Differing bits of each pair of runs that start at a and b."""
+    if not len(lengths):
+        return np.zeros(0, np.int64)
+    bits = np.bitwise_count(prints[ranges(a, lengths)] ^ others[ranges(b, lengths)]).astype(np.int64)
+    return np.add.reduceat(bits, np.cumsum(lengths) - lengths)
+
+
+def _prints(table: pa.Table, ids: str, codes: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, all codes one after another, and where each id's start."""
+    table = table.sort_by(ids)
+    column = table.column(codes).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return table.column(ids).to_numpy(), column.flatten().to_numpy().view(np.uint32), offsets - offsets[0]
+
+
+def _meet(most_error: float, least_votes: int, least_overlap: int):
+    """Of a block of queries and one of recordings: a row for each recording that queries align with."""
+
+    def rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.array([], pa.int64())
+        out = {"class_id": [none], "query_id": [none], "offset": [none], "errors": [none], "overlap": [none]}
+        if left.num_rows and right.num_rows:
+            q_ids, q_codes, q_at = _prints(left, "class_id", "fingerprint")
+            r_ids, r_codes, r_at = _prints(right, "other", "other_print")
+            flips = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint32)
+            probes = (q_codes[:, None] ^ flips[None, :]).ravel()
+            order = np.argsort(probes, kind="stable")
+            probes, of = probes[order], order // len(flips)
+            of_query = np.repeat(np.arange(len(q_ids)), np.diff(q_at))
+            low, high = np.searchsorted(probes, r_codes), np.searchsorted(probes, r_codes, "right")
+            met = np.concatenate([[0], np.cumsum(high - low)])[r_at]
+            begin = 0
+            while begin < len(r_ids):  # recordings, as many at once as have MOST_MET meetings
+                stop = max(begin + 1, int(np.searchsorted(met, met[begin] + MOST_MET, "right")) - 1)
+                codes = np.arange(r_at[begin], r_at[stop])
+                count = high[codes] - low[codes]
+                query_code = of[ranges(low[codes], count)]
+                r = np.repeat(np.searchsorted(r_at, codes, "right") - 1, count)
+                q = of_query[query_code]
+                shift = (np.repeat(codes, count) - r_at[r]) - (query_code - q_at[q])
+                keep = q_ids[q] != r_ids[r]
+                r, q, shift = r[keep], q[keep], shift[keep]
+                order = np.lexsort([shift, np.abs(shift), q, r])
+                r, q, shift = r[order], q[order], shift[order]
+                new = np.concatenate([[True], (np.diff(r) != 0) | (np.diff(q) != 0) | (np.diff(shift) != 0)]) if len(r) else np.zeros(0, bool)
+                at = np.flatnonzero(new)
+                votes = np.diff(np.append(at, len(r)))
+                r, q, shift = r[at], q[at], shift[at]
+                order = np.lexsort([shift, np.abs(shift), -votes, q, r])
+                r, q, shift, votes = r[order], q[order], shift[order], votes[order]
+                best = np.concatenate([[True], (np.diff(r) != 0) | (np.diff(q) != 0)]) if len(r) else np.zeros(0, bool)
+                best &= votes >= least_votes
+                r, q, shift = r[best], q[best], shift[best]
+                first = np.maximum(0, -shift)
+                overlap = np.minimum(np.diff(q_at)[q] - first, np.diff(r_at)[r] - first - shift)
+                wide = overlap >= least_overlap
+                r, q, shift, first, overlap = r[wide], q[wide], shift[wide], first[wide], overlap[wide]
+                errors = _popcount(q_codes, r_codes, q_at[q] + first, r_at[r] + first + shift, overlap)
+                near = errors <= most_error * 32 * overlap
+                for name, values in (("class_id", r_ids[r]), ("query_id", q_ids[q]), ("offset", shift), ("errors", errors), ("overlap", overlap)):
+                    out[name].append(pa.array(values[near].astype(np.int64)))
+                begin = stop
+        flat = {k: pa.concat_arrays(v).to_numpy() for k, v in out.items()}
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(flat["class_id"]) != 0])) if len(flat["class_id"]) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(cut, len(flat["class_id"])).astype(np.int32))
+        lists = {k: pa.ListArray.from_arrays(ends, pa.array(flat[k])) if len(cut) else pa.array([], pa.list_(pa.int64())) for k in ("query_id", "offset", "errors", "overlap")}
+        return pa.table({"class_id": flat["class_id"][cut], **lists})
+
+    return rows
+
+
+def aligned(prints: DataFrame, queries, most_error: float = 0.15, least_votes: int = 2, least_overlap: int = 12) -> DataFrame:
+    """A row per recording: rec_id, class_id, n_codes, n_matches, matches (ids), offsets, error_rates.
+
+    prints: rec_id, fingerprint; queries: a condition on rec_id. Recordings of equal fingerprints are one class, named by
+    its least id. matches are the classes, other than its own, that hold a query and align with the recording, in order
+    of error rate and id; offsets are the recording's frames against theirs, error_rates the shares of bits that differ.
+
+    Integers of a query vote for the offset at which the recording has the same integer but for one bit at most; the
+    offset with most votes counts, of equals the least in size, then the negative one. A match has least_votes of them,
+    least_overlap frames in common and an error rate of at most most_error.
+
+    A recording without an id, or with an empty fingerprint, matches nothing and is its own class. Rows that repeat come
+    back each. Blocks of queries meet blocks of recordings; what one returns is a row a recording, however many align.
     """
-
-    def one(df: DataFrame) -> DataFrame:
-        return df.where(F.col("rec_id").isNotNull() & (F.size("fingerprint") > 0)).groupBy("rec_id").agg(F.min("fingerprint").alias("fingerprint"))
-
-    prints, queries = one(prints), one(queries)
-    buckets = parts(prints.count(), 25_000)
-    coded = [x.select("rec_id", F.posexplode("fingerprint").alias("at", "code")) for x in (queries, prints)]
-    flips = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.call_function("shiftleft", F.lit(1), b)))
-    coded[0] = coded[0].select("rec_id", "at", F.explode(F.transform(flips, lambda f: F.col("code").bitwiseXOR(f))).alias("code"))
-    coded = [x.select("rec_id", F.col("at").cast("long"), F.col("code").cast("long"), F.pmod(F.xxhash64("code"), F.lit(buckets)).cast("int").alias("bucket")) for x in coded]
-    left = coded[0].withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    right = coded[1].withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)).cast("int"))
-    met = left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(_votes, "query_id long, rec_id long, offset long, votes long")
-    votes = met.groupBy("query_id", "rec_id", "offset").agg(F.sum("votes").alias("votes"))
-    best = votes.groupBy("query_id", "rec_id").agg(F.min(F.struct(-F.col("votes"), F.abs("offset"), F.col("offset"))).alias("b"), F.max("votes").alias("votes")).where(F.col("votes") >= least_votes)
-    pairs = best.select("query_id", "rec_id", F.col("b.offset").cast("int").alias("offset"), "votes")
-    pairs = pairs.join(queries.select(F.col("rec_id").alias("query_id"), F.col("fingerprint").alias("q")), "query_id").join(prints.withColumnRenamed("fingerprint", "r"), "rec_id")
-    first = F.greatest(F.lit(0), -F.col("offset"))
-    overlap = F.least(F.size("q") - first, F.size("r") - first - F.col("offset"))
-    pairs = pairs.withColumn("overlap", overlap).where(F.col("overlap") >= least_overlap)
-    differing = F.zip_with(F.slice("q", first + 1, F.col("overlap")), F.slice("r", first + F.col("offset") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    pairs = pairs.withColumn("bit_errors", F.aggregate(differing, F.lit(0), lambda a, x: a + x))
-    rate = F.col("bit_errors") / (32.0 * F.col("overlap"))
-    return pairs.withColumn("error_rate", rate).where(F.col("error_rate") <= most_error).select("query_id", "rec_id", "offset", "votes", "overlap", "bit_errors", "error_rate")
+    known = prints.where(F.col("rec_id").isNotNull() & (F.size("fingerprint") > 0))
+    classes = written(known.groupBy("fingerprint").agg(F.min("rec_id").alias("class_id"), F.max(queries).alias("asked")), "recordings")
+    asked = classes.where("asked").select("class_id", "fingerprint")
+    query_blocks, blocks = parts(asked.count(), QUERY_BLOCK), parts(classes.count(), BLOCK, 8)
+    left = asked.select("*", F.pmod(F.xxhash64("class_id"), F.lit(query_blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
+    right = classes.select(F.col("class_id").alias("other"), F.col("fingerprint").alias("other_print"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("other_i"), F.pmod(F.xxhash64(F.lit(1), "class_id"), F.lit(blocks)).cast("int").alias("other_j"))
+    met = left.groupBy("i", "j").cogroup(right.groupBy("other_i", "other_j")).applyInArrow(_meet(most_error, least_votes, least_overlap), "class_id long, query_id array<long>, offset array<long>, errors array<long>, overlap array<long>")
+    met = met.select("class_id", F.arrays_zip("query_id", "offset", "errors", "overlap").alias("m")).groupBy("class_id").agg(F.flatten(F.collect_list("m")).alias("m"))
+    rate = F.transform("m", lambda x: F.struct((x["errors"] / (32.0 * x["overlap"])).alias("rate"), x["query_id"].alias("id"), x["offset"].cast("int").alias("offset")))
+    found = met.select(F.col("class_id").alias("of"), F.array_sort(rate).alias("m"))
+    named = classes.select(F.col("class_id"), F.col("fingerprint").alias("print"))
+    tied = prints.join(named, (F.col("fingerprint") == F.col("print")) & F.col("rec_id").isNotNull(), "left").join(found, F.col("class_id") == F.col("of"), "left")
+    m = F.coalesce("m", F.array().cast("array<struct<rate:double,id:bigint,offset:int>>"))
+    return tied.select("rec_id", F.coalesce("class_id", "rec_id").alias("class_id"), F.size("fingerprint").alias("n_codes"), F.size(m).alias("n_matches"), m["id"].alias("matches"), m["offset"].alias("offsets"), m["rate"].alias("error_rates"))
 
 
 SEGMENTS, SEGMENT = 14, 4725

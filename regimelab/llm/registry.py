@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, langid, mixing, ngram_join, packing, sharding, substring_dedup, suffix_dedup, url_filter, vector_dedup
+from .common import written
 
 YEAR = 365 * 86400
 START = 1704067200  # 2024-01-01 in seconds
@@ -67,10 +68,8 @@ def op6_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds sound, so each vector of embeddings is sung; the queries are every recording whose id is divisible by 50."""
-    from .common import written
-
     prints = written(audio.fingerprints(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.sung), "fingerprints")
-    return audio.aligned(prints, prints.where(F.col("rec_id") % 50 == 0))
+    return audio.aligned(prints, F.col("rec_id") % 50 == 0)
 
 
 def op8_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
