@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,6 +35,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _heap():
+    """The C library's trim, after asking it to map blocks of 2 MB or more on their own, so that they go back when freed."""
+    try:
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+        return library.malloc_trim
+    except AttributeError:  # a C library without them
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Gives memory that earlier batches and tasks left free in this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    _heap()(0)
+
+
 def column_name(df: DataFrame, base: str) -> str:
     """A name that no column of df has, whatever extra columns it brings."""
     taken = {c.lower() for c in df.columns}
@@ -41,6 +60,14 @@ def column_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the rows of a batch sent to Python, as Spark counts rows and not bytes and texts are long; for the session, and never raised."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(key))
+    if held <= 0 or held > rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts; it sets numbers of partitions and buckets, never what a result holds."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_name, parts, text_bytes
+from .common import column_name, parts, small_batches, text_bytes, trim
 
 ROW = "bucket int, batch int, kind int, blob binary"
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
 FIRST, HITS, SECOND, ANSWER = range(4)
 
 
@@ -90,6 +90,7 @@ def meet(many: int) -> Callable[[pa.Table], pa.Table]:
     """Answers to Records.blobs, two bits a record: whether it meets another document's (and one of them is flagged as a reference), and whether the batches hold it `many` times or more."""
 
     def answer(table: pa.Table) -> pa.Table:
+        trim()
         got = unpacked(table, FIRST)
         sizes = [len(blob) // 5 for _, _, blob in got]
         low = np.concatenate([np.frombuffer(blob[: 4 * n], np.uint32) for (_, _, blob), n in zip(got, sizes)])
@@ -112,6 +113,7 @@ def meet(many: int) -> Callable[[pa.Table], pa.Table]:
 
 def looked_at(docs: DataFrame, id_col: str, text_col: str, first: Callable, second: Callable, meet_second: Callable, last: Callable, schema, many: int = 1 << 60) -> DataFrame:
     """The rows of last. first(table, batch, buckets), second(table, answers, batch, buckets) and last(table, answers, buckets) get a batch of docs."""
+    small_batches(docs.sparkSession)
     total = text_bytes(docs, text_col)
     batches, buckets = parts(total, BATCH_BYTES), parts(total, BUCKET_BYTES)
     name = column_name(docs, "batch_no")
@@ -119,19 +121,23 @@ def looked_at(docs: DataFrame, id_col: str, text_col: str, first: Callable, seco
     dealt = docs.withColumn(name, key)
 
     def one(table: pa.Table) -> pa.Table:
+        trim()
         return first(table, table.column(name)[0].as_py(), buckets)
 
     def two(table: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         if not table.num_rows:
             return rows(0, HITS, {})
         batch = table.column(name)[0].as_py()
         return pa.concat_tables([second(table, answers, batch, buckets), only(answers, HITS)])
 
     def both(table: pa.Table) -> pa.Table:
+        trim()
         sent = only(table, SECOND)
         return pa.concat_tables([only(table, HITS), meet_second(sent)]) if sent.num_rows else only(table, HITS)
 
     def three(table: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         return last(table, answers, buckets)
 
     hits = dealt.groupBy(name).applyInArrow(one, ROW).groupBy("bucket").applyInArrow(meet(many), ROW)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_name, slices
+from .common import column_name, slices, small_batches, trim
 
 UNKNOWN = "und"
 CHUNK = 1 << 21
@@ -179,13 +179,16 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     sorts first. Rows that repeat are scored each; of an empty table nothing comes back. Only texts are looked at.
     """
     lang, score = column_name(docs, "lang_pred"), column_name(docs, "score")
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's own parameters
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            trim()
+            for part in slices(batch, text_col, 4 << 20):
                 names, scores = held.value.predict(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang, score])
+        trim()
 
     schema = type(docs.schema)([*docs.schema.fields]).add(lang, "string").add(score, "double")
     return docs.mapInArrow(score_batches, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, U64, complete, gram_hashes, mix, parts, slices, words, written
+from .common import MULTIPLIERS, U64, complete, gram_hashes, mix, parts, slices, small_batches, trim, words, written
 from .components import components, forest, verdicts
 
 COORDINATES, DEPTH, LEAF = 64, 4, 64
@@ -81,12 +81,14 @@ def _sketches(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _features(n: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            trim()
             for part in slices(batch, "text", 2 << 20):
                 grams, offsets = gram_sets(part.column("text"), n)
                 sizes = np.diff(offsets)
                 nodes = [_node(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
                 sketches = _sketches(grams, offsets)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "node": pa.array(nodes, pa.int64()), "n_grams": pa.array(sizes, pa.int64()), "sketch": pa.array([s.tobytes() for s in sketches], pa.binary())})
+        trim()
 
     return rows
 
@@ -179,6 +181,7 @@ def _row_sets(n: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            trim()
             for part in slices(batch, "text", 4 << 20):
                 grams, offsets = gram_sets(part.column("text"), n)
                 sets = [grams[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
@@ -221,6 +224,7 @@ def _linked(threshold: float):
         return np.nonzero(np.triu(near, 1) if same else near)
 
     def rows(table: pa.Table) -> pa.Table:
+        trim()
         table = table.sort_by([("group", "ascending"), ("block", "ascending"), ("node", "ascending")])
         group, block = table.column("group").to_numpy(), table.column("block").to_numpy()
         node, docs = table.column("node").to_numpy(), table.column("docs").to_numpy()
@@ -271,6 +275,7 @@ def joined(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     known = texts.where(F.col("doc_id").isNotNull())
+    small_batches(docs.sparkSession)
     features = written(known.mapInArrow(_features(n), "doc_id long, node long, n_grams long, sketch binary"), "features")
     some = features.where("n_grams > 0")
     classes = written(some.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("docs"), F.first("n_grams").alias("n_grams"), F.first("sketch").alias("sketch")), "classes")

@@ -12,14 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, parts, ranges, slices
+from .common import flat, parts, ranges, slices, small_batches, trim
 
-MOST_CACHED = 300_000  # words a worker remembers before it starts anew
+MOST_CACHED = 200_000  # words a worker remembers before it starts anew
 PUNCTUATION = ".,!?;:%&$#*"
 LATIN = 0x250  # below it, Unicode's letters are old and stay what they are
 
 
-@functools.cache
 def _tokenizer(path: str):
     import os
 
@@ -122,16 +121,13 @@ class WordIds:
         return ids, np.concatenate([[0], np.cumsum(sizes[codes])])[offsets]
 
 
-@functools.cache
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def _pieces(path: str, seq_len: int, end_id: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _word_ids(path)
+        trim()
+        encoder = WordIds(path)  # of this task; it goes when the task ends
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            trim()
+            for part in slices(batch, "text", 2 << 20):
                 ids, starts = encoder.encode(part.column("text"))
                 n = len(starts) - 1
                 at = starts[1:] + np.arange(n)  # where each document's closing id goes
@@ -158,6 +154,8 @@ def _pieces(path: str, seq_len: int, end_id: int, with_ids: bool):
                 if with_ids:
                     out["ids"] = pa.array(views, pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
+        del encoder
+        trim()
 
     return cut
 
@@ -196,6 +194,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _packer(seq_len: int):
     def pack(group: pa.Table) -> pa.Table:
+        trim()
         group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         lengths = group.column("length").to_numpy()
         bins = first_fit_decreasing(lengths, seq_len)
@@ -219,6 +218,7 @@ def packed(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: in
     A null or empty text is the closing id alone. Repeated rows are packed each. A null id stays null. Of an empty table
     nothing comes back. Other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     groups = parts(docs.count(), group_docs)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer_path, seq_len, end_id, with_ids), schema)
