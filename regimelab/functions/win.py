@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("ticker").orderBy("pos")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+
+def by_pos():
+    return Window.partitionBy("ticker").orderBy("pos")
+
+
+def by_date():
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def so_far():
+    return by_pos().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def trailing(n: int, offset: int = 0):
     """The last n rows, up to `offset` rows ago."""
-    return ORDER.rowsBetween(-(n - 1) - offset, -offset)
+    return by_pos().rowsBetween(-(n - 1) - offset, -offset)
 
 
 def gated(made: Column, of: Column, frame, least: int) -> Column:
@@ -31,7 +39,7 @@ def quantile(x: str | Column, q: float, n: int, least: int | None = None, offset
 
 def ahead(how, x: str | Column, h: int) -> Column:
     x = F.col(x) if isinstance(x, str) else x
-    frame = ORDER.rowsBetween(1, h)
+    frame = by_pos().rowsBetween(1, h)
     return gated(how(x).over(frame), x, frame, h)
 
 
@@ -44,12 +52,12 @@ def zscore(x: str | Column, n: int = 252, least: int = 126) -> Column:
 
 def filled(x: str, most: int | None = None) -> Column:
     """The last value that is not null, at most so many rows old."""
-    return F.last(x, ignorenulls=True).over(SO_FAR if most is None else ORDER.rowsBetween(-most, 0))
+    return F.last(x, ignorenulls=True).over(so_far() if most is None else by_pos().rowsBetween(-most, 0))
 
 
 def renumbered(df: DataFrame) -> DataFrame:
     """pos anew, from 0 without gaps, after rows have gone."""
-    return df.withColumn("pos", F.row_number().over(ORDER) - 1)
+    return df.withColumn("pos", F.row_number().over(by_pos()) - 1)
 
 
 def average_rank(x: str, *groups: str) -> Column:

@@ -14,9 +14,9 @@ YEAR = float(CONFIG.days_a_year)
 
 def positions(forecasts: DataFrame, returns: DataFrame, models: list[str]) -> DataFrame:
     """model, pos, date, weight, turnover, r_next, net. r_next is the next day's return on the full calendar; weights of days without one still count for turnover."""
-    from ..functions.win import ORDER
+    from ..functions.win import by_pos
 
-    ahead = returns.select("ticker", "pos", F.lead("r").over(ORDER).alias("r_next"))
+    ahead = returns.select("ticker", "pos", F.lead("r").over(by_pos()).alias("r_next"))
     days = forecasts.join(ahead, ["ticker", "pos"], "left")
     long = days.unpivot(["ticker", "pos", "date", "r_next"], models, "model", "forecast").where("forecast is not null")
     weight = F.least(F.lit(CONFIG.most_leverage), CONFIG.target_vol / F.sqrt(F.exp("forecast") * YEAR))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..functions.win import ORDER, rolling
+from ..functions.win import by_pos, rolling
 
 YEAR = float(CONFIG.days_a_year)
 
@@ -33,7 +33,7 @@ def estimators(bars: DataFrame, window: int = CONFIG.estimator_window) -> DataFr
     """bars with close_to_close, parkinson, garman_klass, rogers_satchell and yang_zhang, a year's deviation each."""
     n = window
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
-    before = F.lag("close").over(ORDER)
+    before = F.lag("close").over(by_pos())
     steps = bars.withColumns({
         "_r": _ln("close", before), "_p": F.pow(_ln("high", "low"), 2) / (4 * math.log(2)), "_g": _floor(_gk(), 0.0),
         "_s": _rs(), "_o": F.ln(F.col("open") / before), "_c": _ln("close", "open"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..functions.win import ORDER, quantile, renumbered
+from ..functions.win import by_pos, quantile, renumbered
 
 BACK = CONFIG.lookback
 
@@ -42,8 +42,8 @@ def lead_summary(alarmed: DataFrame, onsets: DataFrame, back: int = BACK) -> Dat
 def episodes(alarmed: DataFrame, gap: int = 5) -> DataFrame:
     """Alarm days in runs with at most `gap` rows between: their first and last day and number."""
     days = alarmed.where("alarm").select("ticker", "pos")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(ORDER)) > gap, F.lit(True))
-    runs = days.withColumn("_new", new.cast("int")).withColumn("episode", F.sum("_new").over(ORDER))
+    new = F.coalesce((F.col("pos") - F.lag("pos").over(by_pos())) > gap, F.lit(True))
+    runs = days.withColumn("_new", new.cast("int")).withColumn("episode", F.sum("_new").over(by_pos()))
     return runs.groupBy("ticker", "episode").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("days"))
 
 

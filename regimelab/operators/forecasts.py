@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..config import CONFIG
 from ..functions import kernels
-from ..functions.win import ORDER, SO_FAR
+from ..functions.win import by_pos, so_far
 
 
 def random_walk(rv: DataFrame) -> DataFrame:
@@ -64,11 +64,11 @@ def walk_forward_ols(matrix: DataFrame, columns: list[str], target: str, made: s
     """
     x = [F.lit(1.0), *[F.col(c) for c in columns]]
     k = len(x)
-    frame = ORDER.rowsBetween(Window.unboundedPreceding, -1 - purge)
+    frame = by_pos().rowsBetween(Window.unboundedPreceding, -1 - purge)
     moments = [F.sum(x[i] * x[j]).over(frame) for i in range(k) for j in range(i, k)] + [F.sum(x[i] * F.col(target)).over(frame) for i in range(k)]
     due = (F.col("pos") >= first) & ((F.col("pos") - first) % refit == 0)
     sums = matrix.withColumn("_sums", F.when(due, F.array(*moments)))
-    solved = sums.withColumn("_w", _solver(k, False)("_sums")).withColumn("_w", F.last("_w", ignorenulls=True).over(SO_FAR))
+    solved = sums.withColumn("_w", _solver(k, False)("_sums")).withColumn("_w", F.last("_w", ignorenulls=True).over(so_far()))
     value = sum((F.col("_w")[i] * x[i] for i in range(1, k)), F.col("_w")[0])
     return solved.withColumn(made, F.when(F.col("pos") >= first, value)).drop("_sums", "_w")
 

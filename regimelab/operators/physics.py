@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions import kernels
-from ..functions.win import ORDER, rolling, trailing, zscore
+from ..functions.win import by_pos, rolling, trailing, zscore
 
 W = CONFIG.window
 
 
 def correlations(returns: DataFrame, window: int = W) -> DataFrame:
     """date, pos, a, b, rho of the `window` rows before the day, for pairs of tickers that have all of them and move."""
-    frame = ORDER.rowsBetween(-window, -1)
+    frame = by_pos().rowsBetween(-window, -1)
     live = returns.withColumn("live", (F.count("r").over(frame) == window) & (F.stddev_samp("r").over(frame) > 0))
     x = live.select("pos", "date", F.col("ticker").alias("a"), F.col("r").alias("x"), F.col("live").alias("live_a"))
     y = live.select("pos", F.col("ticker").alias("b"), F.col("r").alias("y"), F.col("live").alias("live_b"))
@@ -78,7 +78,7 @@ def temperature(returns: DataFrame, rv: DataFrame, cross: DataFrame, window: int
 
 def shock_features(returns: DataFrame, window: int = W) -> DataFrame:
     """susceptibility (the slope of |r| on |r| of the day before) and acf1 (their correlation inside the window)."""
-    rows = returns.withColumn("_a", F.abs("r")).withColumn("_l", F.lag("_a").over(ORDER))
+    rows = returns.withColumn("_a", F.abs("r")).withColumn("_l", F.lag("_a").over(by_pos()))
     rows = rows.withColumn("_l", F.when(F.col("_a").isNotNull(), F.col("_l")))
     frame, inner = trailing(window), trailing(window - 1)
     slope = F.covar_samp("_l", "_a").over(frame) / (F.var_samp("_l").over(frame) + 1e-12)
@@ -132,7 +132,7 @@ def branching(returns: DataFrame, window: int = CONFIG.hawkes_window, refit: int
 
     fitted = inside.groupBy("ticker", "at").applyInPandas(fit, "ticker string, pos int, n double").withColumn("n", F.nanvl("n", F.lit(None).cast("double")))
     joined = returns.select("ticker", "pos", "date").join(fitted, ["ticker", "pos"], "left")
-    return joined.withColumn("hawkes_branching", F.last("n", ignorenulls=True).over(ORDER.rowsBetween(-7, 0))).drop("n")
+    return joined.withColumn("hawkes_branching", F.last("n", ignorenulls=True).over(by_pos().rowsBetween(-7, 0))).drop("n")
 
 
 def hawkes_likelihood(times: DataFrame, mu: float, ratio: float, decay: float, horizon: float) -> DataFrame:

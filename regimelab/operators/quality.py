@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..functions.win import ORDER, SO_FAR, filled
-
-BY_DATE = Window.partitionBy("ticker").orderBy("date")
+from ..functions.win import by_date, by_pos, filled, so_far
 
 
 class DataQualityError(Exception):
@@ -25,8 +23,8 @@ def findings(bars: DataFrame, price: str = "close") -> DataFrame:
     whole = F.lit(True)
     for c in ohlc:
         whole = whole & F.col(c).isNotNull()
-    step = F.datediff("date", F.lag("date").over(BY_DATE))
-    move = F.abs(F.ln(F.col(price) / F.lag(price).over(BY_DATE)))
+    step = F.datediff("date", F.lag("date").over(by_date()))
+    move = F.abs(F.ln(F.col(price) / F.lag(price).over(by_date())))
     rows = bars.withColumns({"step": step, "move": move, "same": F.row_number().over(Window.partitionBy("ticker", "date").orderBy(price))})
     tol = CONFIG.price_tolerance
     counts = {
@@ -54,14 +52,14 @@ def require_clean(report: DataFrame) -> None:
 
 
 def largest_gaps(bars: DataFrame, most: int = 3) -> DataFrame:
-    gaps = bars.select("ticker", F.lag("date").over(BY_DATE).alias("since"), "date").withColumn("days", F.datediff("date", "since")).where("days > 7")
+    gaps = bars.select("ticker", F.lag("date").over(by_date()).alias("since"), "date").withColumn("days", F.datediff("date", "since")).where("days > 7")
     top = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("days"), "date"))
     return gaps.withColumn("rank", top).where(F.col("rank") <= most)
 
 
 def first_extremes(bars: DataFrame, most: int = 5, price: str = "close") -> DataFrame:
-    moves = bars.select("ticker", "date", F.ln(F.col(price) / F.lag(price).over(BY_DATE)).alias("r")).where(F.abs("r") > CONFIG.extreme_return)
-    return moves.withColumn("rank", F.row_number().over(BY_DATE)).where(F.col("rank") <= most)
+    moves = bars.select("ticker", "date", F.ln(F.col(price) / F.lag(price).over(by_date())).alias("r")).where(F.abs("r") > CONFIG.extreme_return)
+    return moves.withColumn("rank", F.row_number().over(by_date())).where(F.col("rank") <= most)
 
 
 def calendar_findings(bars: DataFrame, target: str) -> DataFrame:
@@ -91,7 +89,7 @@ def aligned(bars: DataFrame, target: str) -> DataFrame:
 
 
 def log_returns(panel: DataFrame, price: str = "close") -> DataFrame:
-    return panel.select("ticker", "pos", "date", F.ln(F.col(price) / F.lag(price).over(ORDER)).alias("r"))
+    return panel.select("ticker", "pos", "date", F.ln(F.col(price) / F.lag(price).over(by_pos())).alias("r"))
 
 
 def carried(panel: DataFrame, price: str = "close") -> DataFrame:
@@ -102,7 +100,7 @@ def carried(panel: DataFrame, price: str = "close") -> DataFrame:
 def aligned_series(series: DataFrame, calendar: DataFrame, value: str) -> DataFrame:
     """A series put on a calendar's days first, then carried on: values of other days are lost."""
     on = calendar.select("ticker", "pos", "date").join(series.select("date", value), "date", "left")
-    return on.withColumn(value, F.last(value, ignorenulls=True).over(SO_FAR))
+    return on.withColumn(value, F.last(value, ignorenulls=True).over(so_far()))
 
 
 def inceptions(returns: DataFrame) -> DataFrame:

@@ -29,9 +29,9 @@ def regimes(smoothed: DataFrame, restarts: int = 10) -> DataFrame:
 
 def transitions(labelled: DataFrame, label: str = "regime_hmm") -> DataFrame:
     """Shares of tomorrow's regime by today's."""
-    from ..functions.win import ORDER
+    from ..functions.win import by_pos
 
-    pairs = labelled.select(F.col(label).alias("now"), F.lead(label).over(ORDER).alias("next")).where("next is not null")
+    pairs = labelled.select(F.col(label).alias("now"), F.lead(label).over(by_pos()).alias("next")).where("next is not null")
     shares = [F.avg((F.col("next") == n).cast("double")).alias(n) for n in NAMES]
     return pairs.groupBy("now").agg(*shares)
 

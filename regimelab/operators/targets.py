@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..functions.win import ORDER, ahead, quantile, renumbered, rolling
+from ..functions.win import by_pos, ahead, quantile, renumbered, rolling
 
 
 def har(rv: DataFrame) -> DataFrame:
@@ -31,17 +31,17 @@ def event_labels(rv: DataFrame, horizon: int = 5, trail: int = 252, q: float = 0
     """label: 1 where the mean variance of the next days is over the quantile of days before this one, null where either is; onset: a 1 just after a 0."""
     later, bar = ahead(F.avg, "rv", horizon), quantile("rv", q, trail, offset=1)
     labelled = rv.withColumns({"threshold": bar, "label": F.when(later.isNotNull() & bar.isNotNull(), (later > bar).cast("int"))})
-    was = F.lag("label").over(ORDER)
+    was = F.lag("label").over(by_pos())
     return labelled.withColumn("onset", F.coalesce((F.col("label") == 1) & (was == 0), F.lit(False)))
 
 
 def transition_mask(onsets: DataFrame, width: int = CONFIG.event_window) -> DataFrame:
-    return onsets.withColumn("transition", F.max(F.col("onset").cast("int")).over(ORDER.rowsBetween(-width, width)) == 1)
+    return onsets.withColumn("transition", F.max(F.col("onset").cast("int")).over(by_pos().rowsBetween(-width, width)) == 1)
 
 
 def calm_mask(rv: DataFrame, q: float = 0.85, trail: int = 252) -> DataFrame:
     """Whether yesterday was at or below the quantile of the days before today; false where that is not known."""
-    return rv.withColumn("calm", F.coalesce(F.lag("rv").over(ORDER) <= quantile("rv", q, trail, offset=1), F.lit(False)))
+    return rv.withColumn("calm", F.coalesce(F.lag("rv").over(by_pos()) <= quantile("rv", q, trail, offset=1), F.lit(False)))
 
 
 def forward_change(rv: DataFrame, horizons) -> DataFrame:
