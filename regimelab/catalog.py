@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.win import zscore
+from .config import CORE_FEATURES
+from .functions.win import rolling, zscore
 from .operators import backtest, estimators, events, factors, forecasts, metrics, physics, quality, regimes, targets
 from .oracle import sql
 from .plans.study import PHYSICS, Study
@@ -665,6 +666,24 @@ def state_importance(spark, d):
     return metrics.importance(masked, ["rv_d", "rv_w", "rv_m", *SIGNALS], "target_h1", "transition", repeats=5, trees=100)
 
 
+@query()
+def core_share(spark, d):
+    """The share of positive importance, near transitions, that features of the named mechanisms hold."""
+    return metrics.core_share(QUERIES["state_importance"](spark, d), list(CORE_FEATURES), "all")
+
+
+@query("select pos, date, rv_ann, case when count(*) over w = 5 then avg(rv_ann) over w end as rv_smooth from rv window w as (order by pos rows between 4 preceding and current row)", "rv_ann rv_smooth", "pos date")
+def signal_chart(spark, d):
+    """The data of the volatility chart."""
+    return _rv(spark, d).withColumn("rv_smooth", rolling(F.avg, "rv_ann", 5))
+
+
+@query("select m.pos, m.date, m.close, r.regime from market m join regime r using (pos)", "", "pos date close regime")
+def regime_chart(spark, d):
+    """The data of the regime chart."""
+    return _market(spark, d).join(_tercile(spark, d), ["ticker", "pos"])
+
+
 # ---- streams
 
 

@@ -10,8 +10,9 @@ class Config:
     # They must equal those of the study whose results these are.
     days_a_year: int = 252
     target: str = "SPY"
-    core: tuple[str, ...] = ("SPY", "QQQ", "IWM", "^VIX")
-    sectors: tuple[str, ...] = ("XLB", "XLC", "XLE", "XLF", "XLI", "XLK", "XLP", "XLRE", "XLU", "XLV", "XLY")
+    core: tuple[str, ...] = ("SPY", "QQQ", "IWM", "^GSPC", "^VIX")
+    sectors: tuple[str, ...] = ("XLK", "XLF", "XLE", "XLV", "XLI", "XLY", "XLP", "XLU", "XLB", "XLRE", "XLC")
+    extension: tuple[str, ...] = ("TLT", "GLD", "USO", "BTC-USD")
     least_assets: int = 6
     columns: tuple[str, ...] = ("Open", "High", "Low", "Close", "Adj Close", "Volume")
     price_tolerance: float = 1e-6
@@ -39,5 +40,23 @@ class Config:
     z_window: int = 252
     z_least: int = 126
 
+    def universe(self, tickers: list[str]) -> tuple[list[str], int]:
+        """The sectors that are there and the least number of live ones; with too few sectors, all tickers and a lower number."""
+        there = [t for t in self.sectors if t in tickers]
+        if len(there) >= self.least_assets:
+            return there, self.least_assets
+        return list(tickers), max(2, min(self.least_assets, len(tickers)))
+
 
 CONFIG = Config()
+
+# Which mechanism each core feature stands for.
+MECHANISMS = {
+    "collective behaviour": ("corr_length", "eig_max_frac", "frac_eig_above_mp"),
+    "critical slowing down": ("acf1", "var_of_vol", "susceptibility"),
+    "self-excitation": ("hawkes_branching",),
+    "changing disorder": ("entropy_eigen", "entropy_returns"),
+    "composite": ("criticality",),
+}
+CORE_FEATURES = tuple(f for names in MECHANISMS.values() for f in names)
+AUXILIARY_FEATURES = ("hurst_vol", "temperature")

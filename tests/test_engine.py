@@ -290,3 +290,10 @@ def test_study_runs_from_bars_to_forecasts(spark, tmp_path):
     assert study.features.count() == study.daily_rv.count() > 2000
     out = study.forecast(enet=False, garch=False)
     assert {"HAR", "EWMA", "RandomWalk"} <= set(out.columns) and out.where("HAR is not null").count() > 500
+
+
+def test_universe_falls_back_to_all_tickers():
+    from regimelab.config import CONFIG, CORE_FEATURES
+
+    assert CONFIG.universe([*CONFIG.sectors, "SPY"]) == (list(CONFIG.sectors), 6)
+    assert CONFIG.universe(["A", "B", "XLK"]) == (["A", "B", "XLK"], 3) and len(CORE_FEATURES) == 10
