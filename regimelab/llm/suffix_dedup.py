@@ -25,8 +25,8 @@ from .common import MULTIPLIERS, U64, column_name, flat, mix, ranges
 from .exchange import ANSWER, FIRST, SECOND, Records, bounds, looked_at, rows, unpacked
 
 GRAM, STRIDE = 40, 20
-CHUNK = 1 << 18  # positions hashed at once
-MERGE_BYTES, SHARDS = 1 << 19, 4
+CHUNK = 1 << 17  # positions hashed at once: arrays of 1 MB
+MERGE_BYTES, SHARDS = 200_000, 4
 MANY = 50_000  # pieces of one anchor; beyond it each window travels alone, dealt by its own hash
 
 
