@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, U64, complete, gram_hashes, mix, parts, slices, small_batches, trim, words, written
+from .common import MULTIPLIERS, U64, complete, gram_hashes, mix, parts, slices, small_batches, trim, with_totals, words, written
 from .components import components, forest, verdicts
 
 COORDINATES, DEPTH, LEAF = 64, 4, 64
@@ -156,16 +156,17 @@ def _candidates(classes: DataFrame, threshold: float, recall: float) -> DataFram
     going = sketches.mapInArrow(_roots(runs_for(threshold, recall), threshold), "path long, node long")
     cells, deep = [], None
     for level in range(1, DEPTH + 1):
-        sizes = going.groupBy("path").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        met = written(going.join(sizes, "path"), "paths")
+        partial, final = [F.count(F.lit(1)).alias("n"), F.min("node").alias("least")], [F.sum("n").alias("sets"), F.min("least").alias("least")]
+        met = with_totals(going, "path", "node", partial, final, "sets > 1")
+        met = written(met if level == DEPTH else met.drop("least"), "paths")
         cells.append(met.where(F.col("sets") <= LEAF).groupBy("path").agg(F.array_sort(F.collect_list("node")).alias("cell")).select("cell"))
-        large = met.where(F.col("sets") > LEAF).select("path", "node")
+        large = met.where(F.col("sets") > LEAF)
         if level == DEPTH:
-            deep = large.join(large.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b")
+            deep = large.select(F.col("node").alias("a"), F.col("least").alias("b"))
         elif large.isEmpty():
             break
         else:
-            going = large.join(sketches, "node").select("path", "node", "sketch").mapInArrow(_deeper(threshold), "path long, node long")
+            going = large.select("path", "node").join(sketches, "node").select("path", "node", "sketch").mapInArrow(_deeper(threshold), "path long, node long")
     leaves = cells[0]
     for more in cells[1:]:
         leaves = leaves.unionAll(more)
