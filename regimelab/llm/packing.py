@@ -195,10 +195,12 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def _packer(seq_len: int):
     def pack(group: pa.Table) -> pa.Table:
         trim()
-        group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        # Pieces stay where they are, and only their places are put in order: ids are not copied.
+        place = pc.sort_indices(group.select(["doc_id", "start", "ids_crc32"]), [(c, "ascending") for c in ("doc_id", "start", "ids_crc32")]).to_numpy()
         lengths = group.column("length").to_numpy()
-        bins = first_fit_decreasing(lengths, seq_len)
-        order = np.argsort(bins, kind="stable")
+        bins = np.zeros(len(lengths), np.int64)
+        bins[place] = first_fit_decreasing(lengths[place], seq_len)
+        order = place[np.argsort(bins[place], kind="stable")]
         ends = np.cumsum(lengths[order]) - lengths[order]
         first = np.flatnonzero(np.concatenate([[True], np.diff(bins[order]) != 0]))
         offset = np.zeros(len(bins), np.int64)
