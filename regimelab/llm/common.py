@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-SALTS = 16  # tasks that share a hot key
 MULTIPLIERS = np.random.Generator(np.random.PCG64(20240117)).integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -78,18 +77,6 @@ def parts(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-total // each))
 
 
-def with_totals(rows: DataFrame, key: str, spread: str, partial: list, final: list, having: str = "true") -> DataFrame:
-    """rows, each with aggregates over all rows of its key: `final` aggregates what `partial` gives for each part of a key.
-
-    A key that holds a third of the rows is dealt over SALTS tasks by a hash of `spread`: aggregates are taken by key and
-    salt, then by key, and each salt that a key holds meets its key's totals.
-    """
-    salt, salts = column_name(rows, "salt"), column_name(rows, "salts")
-    salted = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    totals = salted.groupBy(key, salt).agg(*partial).groupBy(key).agg(*final, F.collect_set(salt).alias(salts)).where(having)
-    return salted.join(totals.withColumn(salt, F.explode(salts)).drop(salts), [key, salt]).drop(salt)
-
-
 def raw(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column as one large_binary array; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
