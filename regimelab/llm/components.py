@@ -10,7 +10,7 @@ from .common import written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step. Least neighbours come from grouped minima and joins back, so that a hub's edges stay dealt out."""
+    """One large-star and one small-star step. Least neighbours come from grouped minima and joins back, where a hub's edges meet in one task unless Spark's skew join splits it."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
