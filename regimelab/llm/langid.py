@@ -1,9 +1,9 @@
 """Language identification by string kernels.
 
 The kernel of two texts is the number of character 1-, 2- and 3-grams that both hold, over the geometric mean of how
-many each holds (a blended-spectrum presence kernel, normalised), counted over a vocabulary of grams. A Nyström sample
-of landmark texts spans the kernel space; one ridge regression a language against the rest is solved in it. Scoring is
-two matrix products a batch: grams by landmarks, landmarks by languages.
+many each holds (a blended-spectrum presence kernel, normalised), counted over all grams of the sample that is learned from. A Nyström sample of landmark texts spans the
+kernel space; one ridge regression a language against the rest is solved in it. Landmarks and their weights are
+multiplied once, so scoring is one matrix product a batch: grams by languages.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from .common import column_name, slices, small_batches, trim
 
 UNKNOWN = "und"
 CHUNK = 1 << 21
+MOST_DENSE = 1 << 22  # entries of a lookup table; larger ones are searched
+CELLS = 1 << 21  # rows of presence at once, times columns
+LANDMARKS_EACH = 16
 
 
 @functools.cache
@@ -54,40 +57,69 @@ def gram_set(points: np.ndarray) -> np.ndarray:
     return grams[grams != 32]
 
 
+class _Places:
+    """Where a key stands among sorted distinct keys, or -1: by a table where their range allows one, else by binary search."""
+
+    def __init__(self, keys: np.ndarray, top: int):
+        self.keys, self.table = keys, None
+        if top <= MOST_DENSE:
+            self.table = np.full(top + 1, -1, np.int32)  # the last place answers for -1
+            self.table[keys] = np.arange(len(keys))
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[wanted]
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, at, -1)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: np.ndarray  # code points; the space is number 0, and 1 stands for any other letter
-    vocabulary: np.ndarray  # of all 1- to 3-grams over the alphabet, which column it is, or -1
-    landmarks: np.ndarray  # columns by landmarks, each landmark scaled to length 1
-    weights: np.ndarray  # landmarks by languages
+    grams: np.ndarray  # every 1- to 3-gram of the sample, sorted; its place is its column
+    weights: np.ndarray  # columns by languages: landmarks, each scaled to length 1, times their ridge weights
+
+    @functools.cached_property
+    def _index(self) -> tuple[np.ndarray, int, np.ndarray, _Places, _Places]:
+        """Numbers of letters (0 for one that the sample lacks), how many, columns of letters, and the places of pairs and of triples among their like."""
+        mask = np.uint64((1 << 21) - 1)
+        one, two, three = np.split(self.grams, np.searchsorted(self.grams, np.array([1 << 21, 1 << 42], np.uint64)))
+        letters = np.union1d(one.astype(np.int64), [32])
+        a = len(letters) + 1
+        numbers = np.zeros(0x110000, np.int32)
+        numbers[letters] = np.arange(1, a)
+        columns = np.full(a, -1, np.int32)
+        columns[numbers[one.astype(np.int64)]] = np.arange(len(one))
+        last = lambda grams: numbers[(grams & mask).astype(np.int64)]
+        pairs = _Places(numbers[(two >> np.uint64(21)).astype(np.int64)].astype(np.int64) * a + last(two), a * a)
+        triples = _Places(np.searchsorted(two, three >> np.uint64(21)) * a + last(three), max(1, len(two)) * a)
+        return numbers, a, columns, pairs, triples
 
     def presence(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Which column occurs in which text. Whole texts, in chunks that overlap by two characters."""
-        rows, width = len(starts) - 1, self.landmarks.shape[0]
+        rows, width = len(starts) - 1, len(self.grams)
         out = np.zeros(rows * width, np.float32)
-        numbers = np.ones(0x110000, np.int32)
-        numbers[self.alphabet] = np.arange(2, len(self.alphabet) + 2)
-        numbers[32] = 0
-        a = len(self.alphabet) + 2
-        offsets = (0, a, a + a * a)
+        numbers, a, columns, pairs, triples = self._index
+        before = (0, int(np.count_nonzero(columns >= 0)))
+        before += (before[1] + len(pairs.keys),)
         for at in range(0, len(points), CHUNK):
-            x = numbers[points[at : at + CHUNK + 2]]
+            x = numbers[points[at : at + CHUNK + 2]].astype(np.int64)
             row = np.searchsorted(starts, np.arange(at, min(at + CHUNK, len(points))), "right") - 1
-            code = x.astype(np.int64)
-            for n, offset in enumerate(offsets):
-                if n:
-                    code = code[:-1] * a + x[n:]
-                found = self.vocabulary[offset + code[: len(row)]]
+            two = pairs.of(x[:-1] * a + x[1:]).astype(np.int64)
+            three = triples.of(np.where(two[:-1] >= 0, two[:-1] * a + x[2:], -1)) if len(x) > 2 else two[:0]
+            for n, found in enumerate((columns[x], two, three)):
+                found = found[: len(row)]
                 ends = at + np.arange(len(found)) + n < starts[row[: len(found)] + 1]
                 good = (found >= 0) & ends
-                out[row[: len(found)][good] * width + found[good]] = 1
+                out[row[: len(found)][good] * width + found[good] + before[n]] = 1
         return out.reshape(rows, width)
 
     def scores(self, present: np.ndarray) -> np.ndarray:
         """A score of each language for each row of presence; 0 where a text holds no known gram."""
         size = np.sqrt(present.sum(1, keepdims=True))
-        return (present @ self.landmarks) / np.maximum(size, 1) @ self.weights
+        return present @ self.weights / np.maximum(size, 1)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         points, starts = code_points(texts)
@@ -96,54 +128,46 @@ class Model:
         if not self.languages:
             return [UNKNOWN] * n, np.zeros(n)
         names, best = [], np.zeros(n)
-        for at in range(0, n, 256):
-            lo, hi = starts[at], starts[min(n, at + 256)]
-            got = self.scores(self.presence(points[lo:hi], starts[at : min(n, at + 256) + 1] - lo))
+        step = max(1, min(256, CELLS // max(1, len(self.grams))))
+        for at in range(0, n, step):
+            lo, hi = starts[at], starts[min(n, at + step)]
+            got = self.scores(self.presence(points[lo:hi], starts[at : min(n, at + step) + 1] - lo))
             top = got.argmax(1)
             best[at : at + len(top)] = np.clip(got[np.arange(len(top)), top], 0, 1)
             names += [self.languages[k] for k in top]
         return [name if ok else UNKNOWN for name, ok in zip(names, has_letter)], np.where(has_letter, best, 0.0)
 
 
-def train(rows: list[tuple[str, np.ndarray]], most_landmarks: int = 192, columns: int = 6000, characters: int = 120, ridge: float = 1e-2) -> Model:
-    """The model of (language, gram set) rows, in the order given: the first texts of each language, in turns, are the landmarks."""
+def train(rows: list[tuple[str, np.ndarray]], most_landmarks: int = 192, ridge: float = 1e-2) -> Model:
+    """The model of (language, gram set) rows, in the order given: the first texts of each language, in turns, are the landmarks.
+
+    Every letter and gram of the rows counts. There are most_landmarks landmarks, or LANDMARKS_EACH a language where that is more.
+    """
     languages = sorted({lang for lang, _ in rows})
     if not languages:
-        return Model([], np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    seen = Counter()
-    grams, counts = np.unique(np.concatenate([g for _, g in rows]), return_counts=True)
-    single = grams < (1 << 21)
-    order = np.lexsort([grams[single], -counts[single]])[:characters]
-    alphabet = np.sort(grams[single][order]).astype(np.int64)
-    numbers = np.full(0x110000, -1, np.int64)
-    numbers[alphabet], numbers[32] = np.arange(2, len(alphabet) + 2), 0
-    a = len(alphabet) + 2
-    mask = np.uint64((1 << 21) - 1)
-    parts = [numbers[(grams >> np.uint64(42)).astype(np.int64)], numbers[((grams >> np.uint64(21)) & mask).astype(np.int64)], numbers[(grams & mask).astype(np.int64)]]
-    size = np.where(grams < (1 << 21), 1, np.where(grams < (1 << 42), 2, 3))
-    code = np.where(size == 1, parts[2], np.where(size == 2, a + parts[1] * a + parts[2], a + a * a + (parts[0] * a + parts[1]) * a + parts[2]))
-    known = (parts[2] >= 0) & ((size < 2) | (parts[1] >= 0)) & ((size < 3) | (parts[0] >= 0))
-    chosen = np.flatnonzero(known)[np.lexsort([grams[known], -counts[known]])[:columns]]
-    vocabulary = np.full(a + a * a + a * a * a, -1, np.int32)
-    vocabulary[code[chosen]] = np.arange(len(chosen))
-    place = {int(g): i for i, g in enumerate(grams[chosen])}
-    present = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, (_, held) in enumerate(rows):
-        present[i, [place[g] for g in held.tolist() if g in place]] = 1
-    present /= np.maximum(np.sqrt(present.sum(1, keepdims=True)), 1)
-    turn = []
+        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
+    sizes = np.array([len(g) for _, g in rows])
+    grams, flat = np.unique(np.concatenate([g for _, g in rows]), return_inverse=True)
+    owner, starts = np.repeat(np.arange(len(rows)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    length = np.sqrt(np.maximum(sizes, 1))
+    seen, turn = Counter(), []
     for lang, _ in rows:
         turn.append(seen[lang])
         seen[lang] += 1
-    marks = np.sort(np.argsort(np.array(turn), kind="stable")[:most_landmarks])
-    landmarks = present[marks].T.astype(np.float64)
-    kernel = present.astype(np.float64) @ landmarks
+    marks = np.sort(np.argsort(np.array(turn), kind="stable")[: max(most_landmarks, LANDMARKS_EACH * len(languages))])
+    kernel = np.zeros((len(rows), len(marks)))
+    for j, mark in enumerate(marks):
+        held = np.zeros(len(grams), bool)
+        held[flat[starts[mark] : starts[mark + 1]]] = True
+        kernel[:, j] = np.bincount(owner[held[flat]], minlength=len(rows)) / length / length[mark]
     target = np.array([[1.0 if lang == x else -1.0 / max(1, len(languages) - 1) for x in languages] for lang, _ in rows])
-    of_lang = Counter(lang for lang, _ in rows)
-    weight = np.array([len(rows) / len(languages) / of_lang[lang] for lang, _ in rows])[:, None]
-    normal = kernel.T @ (weight * kernel) + ridge * (landmarks.T @ landmarks) + 1e-6 * np.eye(len(marks))
-    weights = np.linalg.solve(normal, kernel.T @ (weight * target))
-    return Model(languages, alphabet, vocabulary, np.ascontiguousarray(landmarks, np.float32), weights.astype(np.float32))
+    weight = np.array([len(rows) / len(languages) / seen[lang] for lang, _ in rows])[:, None]
+    normal = kernel.T @ (weight * kernel) + ridge * kernel[marks] + 1e-6 * np.eye(len(marks))
+    solved = np.linalg.solve(normal, kernel.T @ (weight * target))
+    weights = np.zeros((len(grams), len(languages)))
+    for j, mark in enumerate(marks):
+        weights[flat[starts[mark] : starts[mark + 1]]] += solved[j] / length[mark]
+    return Model(languages, grams, weights.astype(np.float32))
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +204,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """
     lang, score = column_name(docs, "lang_pred"), column_name(docs, "score")
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's own parameters
+    held = docs.sparkSession.sparkContext.broadcast(model)  # of the size of the sample's distinct grams
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

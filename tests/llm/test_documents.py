@@ -312,3 +312,26 @@ def test_no_mutual_imports():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert not re.search(r"import.*\bllm\b|from.*\bllm\b", path.read_text()), path
+
+
+def test_languages_of_many_scripts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    scripts = {"ar": (0x627, 28), "el": (0x3B1, 24), "hi": (0x904, 50), "ja": (0x3041, 80), "ko": (0xAC00, 900), "la": (0x61, 26), "ru": (0x430, 32), "th": (0xE01, 44), "zh": (0x4E00, 1500)}
+    make = lambda at, n: " ".join("".join(chr(at + int(n * rng.random() ** 2)) for _ in range(rng.randint(2, 7))) for _ in range(40))
+    sets, texts = [], [(lang, make(*span)) for _ in range(40) for lang, span in scripts.items()]
+    points, starts = langid.code_points(pa.array([t for _, t in texts]))
+    for a, b in zip(starts[:-1], starts[1:]):
+        sets.append(langid.gram_set(points[a:b]))
+    rows = [(lang, s) for (lang, _), s in zip(texts, sets)]
+    model, fresh = langid.train(rows), [(lang, make(*span)) for lang, span in scripts.items() for _ in range(5)]
+    names, scores = model.predict(pa.array([t for _, t in fresh]))
+    assert names == [lang for lang, _ in fresh] and scores.min() >= 0.15
+    points, starts = langid.code_points(pa.array([t for _, t in fresh]))
+    known, present = set(np.concatenate(sets).tolist()), model.presence(points, starts)
+    for row, a, b in zip(present, starts[:-1], starts[1:]):
+        assert set(model.grams[row > 0].tolist()) == set(langid.gram_set(points[a:b]).tolist()) & known
+    for most in (0, 1 << 30):  # searched and looked up
+        monkeypatch.setattr(langid, "MOST_DENSE", most)
+        assert (langid.train(rows).presence(points, starts) == present).all()
