@@ -663,13 +663,13 @@ def state_importance(spark, d):
     rows = targets.model_matrix(_rv(spark, d), _signals(spark, d))
     onsets = _labels(spark, d).select("ticker", "date", "onset")
     masked = targets.transition_mask(rows.join(onsets, ["ticker", "date"], "left").withColumn("onset", F.coalesce("onset", F.lit(False))))
-    return metrics.importance(masked, ["rv_d", "rv_w", "rv_m", *SIGNALS], "target_h1", "transition", repeats=5, trees=100)
+    return metrics.importance(masked, ["rv_d", "rv_w", "rv_m", *SIGNALS], "target_h1", "transition")
 
 
 @query()
 def core_share(spark, d):
     """The share of positive importance, near transitions, that features of the named mechanisms hold."""
-    return metrics.core_share(QUERIES["state_importance"](spark, d), list(CORE_FEATURES), "all")
+    return metrics.core_share(QUERIES["state_importance"](spark, d), list(CORE_FEATURES))
 
 
 @query("select pos, date, rv_ann, case when count(*) over w = 5 then avg(rv_ann) over w end as rv_smooth from rv window w as (order by pos rows between 4 preceding and current row)", "rv_ann rv_smooth", "pos date")

@@ -297,3 +297,22 @@ def test_universe_falls_back_to_all_tickers():
 
     assert CONFIG.universe([*CONFIG.sectors, "SPY"]) == (list(CONFIG.sectors), 6)
     assert CONFIG.universe(["A", "B", "XLK"]) == (["A", "B", "XLK"], 3) and len(CORE_FEATURES) == 10
+
+
+def test_importance_queries_take_the_study_s_sizes_and_transition_rows(spark, monkeypatch):
+    import inspect
+
+    from regimelab import catalog
+
+    whole, taken = inspect.signature(metrics.importance), {}
+    rows = [("all", "acf1", 1.0), ("all", "rv_d", 3.0), ("transition", "acf1", 1.0), ("transition", "rv_d", 1.0), ("calm", "rv_d", 1.0)]
+
+    def noted(*args, **options):
+        held = whole.bind(*args, **options)
+        held.apply_defaults()
+        taken.update(held.arguments)
+        return spark.createDataFrame(rows, "scope string, feature string, importance double")
+
+    monkeypatch.setattr(metrics, "importance", noted)
+    assert catalog.QUERIES["core_share"](spark, "/root/testdata/sf0.001").first().share == 0.5
+    assert (taken["repeats"], taken["trees"]) == (10, 300)
