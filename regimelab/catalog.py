@@ -463,6 +463,19 @@ def bootstrap_auc(spark, d):
     return metrics.bootstrap_auc(rows, metrics.block_draws(spark, rows.count(), 100))
 
 
+@query(
+    """select quantile_cont(auc, 0.025) as low, quantile_cont(auc, 0.975) as high, count(*) as draws from (select draw, (sum(rk) filter (label = 1) - sum(label) * (sum(label) + 1) / 2) / nullif(sum(label) * (count(*) - sum(label)), 0) as auc from
+ (select draw, label, rank() over (partition by draw order by score) + (count(*) over (partition by draw, score) - 1) / 2 as rk from (select d as draw, k * 21 + j as slot, (d * 7919 + k * 104729 + d * k * 31) % greatest(1, n - 21) + j as i, n
+ from (select count(*) as n from scored), range(0, 500) a(d), lateral (select unnest(range(0, ((n + 20) // 21)::BIGINT)) as k) b, range(0, 21) c(j)) x join scored using (i) where slot < n) group by draw) where auc is not null""",
+    "low high",
+    "draws",
+)
+def bootstrap_auc_whole(spark, d):
+    """With all draws of the study."""
+    rows = _scored(spark, d)
+    return metrics.bootstrap_auc(rows, metrics.block_draws(spark, rows.count()))
+
+
 # ---- factors
 
 
@@ -558,14 +571,20 @@ def combined_signal(spark, d):
     return made.where("acf1 is not null and var_of_vol is not null").select("pos", ((F.col("acf1") + F.col("var_of_vol")) / 2).alias("combined"))
 
 
-def _event_study(spark, d):
+def _event_study(spark, d, **draws):
     labels = _labels(spark, d)
     sizes = labels.agg(F.count(F.lit(1)).alias("n"), F.count_if("onset").alias("o")).first()
-    return events.event_study(_z(spark, d), labels, events.placebo_days(spark, sizes.n, sizes.o, 200))
+    return events.event_study(_z(spark, d), labels, events.placebo_days(spark, sizes.n, sizes.o, **draws))
 
 
 @query("select signal, t::INTEGER as t, mean, onsets, low, high from study", "mean low high", "signal t onsets")
 def event_study(spark, d):
+    return _event_study(spark, d, draws=200)
+
+
+@query("select signal, t::INTEGER as t, mean, onsets, low, high from study_whole", "mean low high", "signal t onsets")
+def event_study_whole(spark, d):
+    """With all placebo draws of the study."""
     return _event_study(spark, d)
 
 
@@ -575,6 +594,16 @@ def event_study(spark, d):
     "signal first_t",
 )
 def first_movers(spark, d):
+    return events.first_movers(_event_study(spark, d, draws=200))
+
+
+@query(
+    "select signal, min(t) filter (stays and t <= 0)::INTEGER as first_t from (select signal, t, min(over_) over w = 1 and count(*) over w = 3 as stays from (select signal, t, coalesce(mean > high, false)::INTEGER as over_ from study_whole) window w as (partition by signal order by t rows between current row and 2 following)) group by signal",
+    "",
+    "signal first_t",
+)
+def first_movers_whole(spark, d):
+    """With all placebo draws of the study."""
     return events.first_movers(_event_study(spark, d))
 
 

@@ -91,6 +91,10 @@ C: dict[str, str] = {
     "dm_var": "select s.scope, s.n, s.mean, s.v0 + coalesce(sum(2 * (1 - c.k / (s.lags + 1)::DOUBLE) * c.c), 0) as v from dm_sizes s left join dm_cov c using (scope) group by s.scope, s.n, s.mean, s.v0",
 }
 
+# The study's number of placebo draws, beside the fifth of them above.
+C["placebo_whole"] = C["placebo"].replace("range(0, 200)", "range(0, 1000)")
+C["study_whole"] = C["study"].replace("placebo", "placebo_whole")
+
 
 def sql(text: str, digits: str = "", exact: str = "") -> str:
     """`select` columns of a text's result, with the expressions that it needs in front. digits: columns to round to six places; exact: others."""

@@ -316,3 +316,24 @@ def test_importance_queries_take_the_study_s_sizes_and_transition_rows(spark, mo
     monkeypatch.setattr(metrics, "importance", noted)
     assert catalog.QUERIES["core_share"](spark, "/root/testdata/sf0.001").first().share == 0.5
     assert (taken["repeats"], taken["trees"]) == (10, 300)
+
+
+def test_whole_resampling_takes_the_study_s_draws(spark, monkeypatch):
+    from regimelab import catalog
+    from regimelab.config import CONFIG
+
+    drawn = []
+
+    def noted(make):
+        def run(*args, **options):
+            out = make(*args, **options)
+            drawn.append(out.agg(F.count_distinct("draw")).first()[0])
+            return out
+
+        return run
+
+    monkeypatch.setattr(metrics, "block_draws", noted(metrics.block_draws))
+    monkeypatch.setattr(events, "placebo_days", noted(events.placebo_days))
+    for name in ("bootstrap_auc_whole", "event_study_whole", "first_movers_whole"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert drawn == [CONFIG.bootstrap_draws, 1000, 1000]
