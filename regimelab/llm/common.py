@@ -20,9 +20,11 @@ MULTIPLIERS = np.random.Generator(np.random.PCG64(20240117)).integers(1, 2**63,
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where a local session names none (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="regimelab-scratch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,6 +37,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(old: DataFrame, df: DataFrame, name: str) -> DataFrame:
+    """df, which reads the written table old, as a table of its own; old goes."""
+    out = written(df, name)
+    for file in {f.rsplit("/", 1)[0] for f in old.inputFiles()[:1]}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
+def placed(df: DataFrame, name: str, salts: int = 1024) -> DataFrame:
+    """df with a column 0 to salts - 1, each row's place in its input partition, which tells equal rows apart.
+
+    Places must not change when a partition is computed anew, so a plan that shuffles is written first.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = written(df, "placed")
+    return df.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+
+
 @functools.cache
 def _heap():
     """The C library's trim, after asking it to map blocks of 2 MB or more on their own, so that they go back when freed."""

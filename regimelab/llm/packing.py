@@ -12,10 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, parts, ranges, slices, small_batches, trim
+from .common import flat, parts, placed, ranges, slices, small_batches, trim
 
 MOST_CACHED = 200_000  # words a worker remembers before it starts anew
 PUNCTUATION = ".,!?;:%&$#*"
+GROUP_BYTES, ROW_BYTES = 16 << 20, 16  # of a group's texts; what a row counts for besides
 LATIN = 0x250  # below it, Unicode's letters are old and stay what they are
 
 
@@ -25,9 +26,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 @functools.cache
@@ -44,12 +43,16 @@ class WordIds:
 
     Each distinct word is encoded once: texts are cut at ASCII white space, and a word at the place where a letter a-z
     is followed by closing punctuation, which the tokenizer's own pattern always cuts too. A word of Latin letters alone
-    is one piece for that pattern, so its ids come straight from the tokenizer's model.
+    is one piece for that pattern, so its ids come straight from the tokenizer's model. A word that holds the string of
+    one of the tokenizer's added tokens, in any case, goes to the tokenizer as it stands, neither lowered nor cut.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        if any(c.isspace() for t in self.added for c in t):
+            raise ValueError("added tokens that hold white space are not supported")
         self.clear()
 
     def clear(self) -> None:
@@ -84,12 +87,17 @@ class WordIds:
         return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
 
     def _parted(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """Each word's first part, and its closing punctuation where that follows a letter a-z, or nothing."""
+        """Each lowered word's first part, and its closing punctuation where that follows a letter a-z, or nothing."""
+        asis, words, raw = np.zeros(len(words), bool), pc.ascii_lower(words), words
+        for token in self.added:
+            asis |= pc.match_substring(words, token).to_numpy(zero_copy_only=False).astype(bool)
+        if asis.any():
+            words = pc.if_else(pa.array(asis), raw, words)
         data, at = flat(words)
         size = np.diff(flat(pc.ascii_rtrim(words, characters=PUNCTUATION))[1])
-        last = data[at[:-1] + np.maximum(size, 1) - 1] if len(data) else np.zeros(len(words), np.uint8)
+        last = data[np.minimum(at[:-1] + np.maximum(size, 1), len(data)) - 1] if len(data) else np.zeros(len(words), np.uint8)
         whole = np.diff(at)
-        size = np.where((size > 0) & (last >= ord("a")) & (last <= ord("z")), size, whole)
+        size = np.where((size > 0) & (last >= ord("a")) & (last <= ord("z")) & ~asis, size, whole)
 
         def cut(begin: np.ndarray, length: np.ndarray) -> pa.Array:
             ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
@@ -107,7 +115,7 @@ class WordIds:
         offsets -= offsets[0]
         coded = values.dictionary_encode()
         slots = []
-        for part in self._parted(pc.ascii_lower(coded.dictionary)):  # of a new array, for ascii_lower errs on a slice
+        for part in self._parted(coded.dictionary):  # a new array, for ascii_lower errs on a slice
             each = part.dictionary_encode()
             known = self._slots([w.decode("utf-8", "replace") for w in each.dictionary.to_pylist()])
             slots.append(known[each.indices.to_numpy()])
@@ -150,6 +158,7 @@ def _pieces(path: str, seq_len: int, end_id: int, with_ids: bool):
                     "length": pa.array(length),
                     "ids_crc32": pa.array([zlib.crc32(v) for v in views], pa.int64()),
                     "doc_tokens": pa.array(totals[doc]),
+                    "place": part.column("place").take(pa.array(doc)),
                 }
                 if with_ids:
                     out["ids"] = pa.array(views, pa.binary())
@@ -206,23 +215,28 @@ def _packer(seq_len: int):
         offset = np.zeros(len(bins), np.int64)
         offset[order] = ends - np.repeat(ends[first], np.diff(np.append(first, len(bins))))
         sequence = (group.column("pack_group").to_numpy() << 32) | bins
-        return group.drop_columns("pack_group").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return group.drop_columns(["pack_group", "place"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return pack
 
 
-def packed(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, group_docs: int = 16_000, seed: int = 3, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, group_bytes: int = GROUP_BYTES, seed: int = 3, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, the little-endian unsigned 32-bit ids).
 
-    A document's ids, closed by end_id, are cut into pieces of seq_len and a rest. Documents are dealt into random
-    groups of about group_docs by a hash; each group packs its pieces by first-fit decreasing, on its own.
+    A document's ids, closed by end_id, are cut into pieces of seq_len and a rest. Pieces are dealt into random groups of
+    about group_bytes of text, by a hash; each group packs its pieces by first-fit decreasing, on its own. Groups grow in
+    number and never in size: the key takes in a piece's ids and its row's place, so neither a long document, nor an id
+    or a row that repeats, falls into one of them whole.
 
-    A null or empty text is the closing id alone. Repeated rows are packed each. A null id stays null. Of an empty table
-    nothing comes back. Other columns are ignored, whatever their names.
+    A null or empty text is the closing id alone. Strings of the tokenizer's added tokens become these tokens. Repeated
+    rows are packed each. A null id stays null. Of an empty table nothing comes back. Other columns are ignored, whatever
+    their names.
     """
     small_batches(docs.sparkSession)
-    groups = parts(docs.count(), group_docs)
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer_path, seq_len, end_id, with_ids), schema)
-    key = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens"), F.lit(groups)).alias("pack_group")
-    return pieces.select("*", key).groupBy("pack_group").applyInArrow(_packer(seq_len), schema + ", sequence_id long, offset long").withColumnRenamed("doc_id", id_col)
+    held = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + ROW_BYTES), F.lit(0))).first()[0]
+    groups = parts(held, group_bytes)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    texts = placed(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "place")
+    pieces = texts.mapInArrow(_pieces(tokenizer_path, seq_len, end_id, with_ids), schema + ", place int" + ", ids binary" * with_ids)
+    key = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "doc_tokens", "place"), F.lit(groups)).alias("pack_group")
+    return pieces.select("*", key).groupBy("pack_group").applyInArrow(_packer(seq_len), schema + ", ids binary" * with_ids + ", sequence_id long, offset long").withColumnRenamed("doc_id", id_col)

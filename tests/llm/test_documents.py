@@ -104,8 +104,11 @@ def test_poisson_quantiles_against_their_definition():
             below = sum(math.exp(-rate + j * math.log(rate) - math.lgamma(j + 1)) if rate else float(j == 0) for j in range(int(k) + 1))
             under = below - (math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) if rate else float(k == 0))
             assert below > x - 1e-12 and under <= x + 1e-12
-    big = mixing.poisson_quantile(u, np.full(400, 1200.0))
-    assert abs(big.mean() - 1200) < 20
+    for rate in (499.5, 501.0, 1200.0, 3e6):
+        big = mixing.poisson_quantile(np.random.default_rng(2).random(40000), np.full(40000, rate))
+        assert abs(big.mean() / rate - 1) < 0.01 and abs(big.var() / rate - 1) < 0.05
+    mixed = mixing.poisson_quantile(np.array([0.5, 0.5, 0.5, 1 - 2**-52]), np.array([0.0, 3.0, 700.0, 2.0]))
+    assert mixed[:3].tolist() == [0, 3, 700] and 10 < mixed[3] < 40
 
 
 def test_mixing_repeats_rows_by_count(docs):
@@ -120,6 +123,13 @@ def test_mixing_repeats_rows_by_count(docs):
     assert mixing.mixed(docs).columns == SCHEMA_NAMES
 
 
+def test_mixing_spreads_the_copies_of_one_id(spark):
+    rows = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"))
+    out = mixing.mixed(rows, weights={"s": 1.0}, epochs=3.0).withColumn("p", F.spark_partition_id())
+    sizes = [r["count"] for r in out.groupBy("p").count().collect()]
+    assert sum(sizes) % 4000 == 0 and (not sizes or max(sizes) < 0.6 * sum(sizes))
+
+
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -131,31 +141,48 @@ def test_mixing_salted_join_gives_the_same(docs, monkeypatch):
     assert key(a) == key(b)
 
 
-def test_packing_is_an_exact_round_trip(docs):
+def test_packing_is_an_exact_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     path = registry.tokenizer_path()
     plain = Tokenizer.from_file(path)
-    got = packing.packed(docs, path, seq_len=256, group_docs=30, with_ids=True).toPandas()
-    want = collections.Counter((r[0], np.array([*plain.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in ROWS)
-    whole = collections.Counter()
-    for (doc, n), group in got.groupby([got.doc_id.fillna(-99), "doc_tokens"]):
-        starts = collections.defaultdict(list)
-        for r in group.itertuples():
-            assert r.length == len(bytes(r.ids)) // 4 and r.ids_crc32 == zlib.crc32(bytes(r.ids))
-            starts[r.start].append(bytes(r.ids))
-        copies = len(starts[0])
-        assert all(len(v) == copies for v in starts.values())
-        if len({tuple(v) for v in starts.values()}) and all(len(set(v)) == 1 for v in starts.values()):
-            whole[(None if doc == -99 else int(doc), b"".join(v[0] for _, v in sorted(starts.items())))] += copies
-        else:
-            whole.update((k for k in want.elements() if k[0] == (None if doc == -99 else int(doc)) and len(k[1]) == 4 * n))
-    assert whole == want
+    got = packing.packed(docs, path, seq_len=256, group_bytes=3000, with_ids=True).toPandas()
+    want = collections.Counter()  # every piece of every row, cut anew
+    for doc, text, *_ in ROWS:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 1]
+        for start in range(0, len(ids), 256):
+            want[doc, start, len(ids), np.array(ids[start : start + 256], "<u4").tobytes()] += 1
+    have = collections.Counter()
+    for r in got.itertuples():
+        assert r.length == len(bytes(r.ids)) // 4 and r.ids_crc32 == zlib.crc32(bytes(r.ids))
+        have[None if r.doc_id != r.doc_id else int(r.doc_id), r.start, r.doc_tokens, bytes(r.ids)] += 1
+    assert have == want
     for _, group in got.groupby("sequence_id"):
         g = group.sort_values("offset")
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 256
 
 
+def test_words_with_added_tokens_and_odd_letters():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path()
+    plain, encoder, rng = Tokenizer.from_file(path), packing.WordIds(path), random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "One", "two,", "it's!", "ÉTÉ", "e\u0301", "ẞ", "İx", "Σας", "日本", "a.b.", "x!!", "42", "<", "|>", "...", "\u00a0", "\u2028"]
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b.", "x.<|EndOfText|>!", *("".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(1, 9))) for _ in range(4000))]
+    ids, starts = encoder.encode(pa.array(texts))
+    for text, a, b in zip(texts, starts[:-1], starts[1:]):
+        assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert len(encoder.encode(pa.array(texts[:1]))[0]) == 3
+
+
+def test_packing_deals_one_id_and_long_texts_over_groups(spark):
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same words here").alias("text")).unionAll(spark.createDataFrame([(8, "one two three " * 4000), (9, None)], "doc_id long, text string"))
+    got = packing.packed(rows, registry.tokenizer_path(), seq_len=64, group_bytes=8000).withColumn("g", F.shiftright("sequence_id", 32)).toPandas()
+    assert len(got[got.doc_id == 7]) == 3000 and got[got.doc_id == 8].length.sum() == 12001
+    assert got[got.doc_id == 7].groupby("g").size().max() < 900 and got[got.doc_id == 8].g.nunique() > 8
+
+
 def test_first_fit_decreasing_against_a_plain_loop():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 100, 300)
