@@ -12,26 +12,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import column_name
+from .common import column_name, placed
 
 MOST_BROADCAST = 50_000  # sources; a row is some 60 bytes
 SALTS = 64
-TOP_RATE = 500.0  # above it, exp(-rate) is close to the smallest double
 
 
 def poisson_quantile(u: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """The least k with P(X <= k) > u, for X Poisson of mean rate. A rate above 500 is cut into equal parts below it: the count is as many times the part's quantile."""
-    cut = np.maximum(1, np.ceil(rate / TOP_RATE))
-    mean = rate / cut
-    term = np.exp(-mean)
-    below, k = term.copy(), np.zeros(len(u), np.int64)
-    todo = np.flatnonzero(below <= u)
-    while len(todo):
-        k[todo] += 1
-        term[todo] *= mean[todo] / k[todo]
-        below[todo] += term[todo]
-        todo = todo[(below[todo] <= u[todo]) & ((term[todo] > 1e-300) | (k[todo] < mean[todo]))]
-    return k * cut.astype(np.int64)
+    """The least k with P(X <= k) > u, for X Poisson of mean rate.
+
+    Of each distinct rate, chances are taken relative to the most likely count, over all counts within twelve standard
+    deviations and 60 more, so that no rate is too large; what lies outside is less than a double can tell.
+    """
+    out = np.zeros(len(u), np.int64)
+    for r in np.unique(rate[rate > 0]):
+        mode, reach = int(r), int(12 * np.sqrt(r)) + 60
+        low = max(0, mode - reach)
+        k = np.arange(low, mode + reach + 1)
+        steps = np.concatenate([[0.0], np.cumsum(np.log(r / k[1:]))])
+        chance = np.exp(steps - steps[mode - low])
+        total = chance.sum()
+        below, above = np.cumsum(chance) / total, np.append(np.cumsum(chance[:0:-1])[::-1], 0.0) / total  # P(X <= k), P(X > k)
+        mine = np.flatnonzero(rate == r)
+        x = u[mine]
+        out[mine] = low + np.where(x < 0.5, np.searchsorted(below, x, "right"), np.searchsorted(-above, x - 1, "right"))
+    return out
 
 
 def _copies():
@@ -64,12 +69,14 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     """The columns of docs, each row as often as its Poisson count says, in a global random order.
 
     With extras come `n_copies` (of this document), `copy` (0, 1, ...) and `shuffle_key` (the order within a partition,
-    which the key's hash chose); names that docs has already get underscores in front.
+    which a hash of the key and of the row's place in the input chose, so that rows of one id spread); names that docs
+    has already get underscores in front.
 
     A null id counts as the text "null"; rows of one id have one count; a null text has no bytes; a null source is a
     source like another. Of an empty table nothing comes back.
     """
-    rate, count, copy, key, salt = (column_name(docs, c) for c in ("rate", "n_copies", "copy", "shuffle_key", "salt"))
+    rate, count, copy, key, salt, place = (column_name(docs, c) for c in ("rate", "n_copies", "copy", "shuffle_key", "salt", "place"))
+    columns, docs = docs.columns, placed(docs, place)
     spark = docs.sparkSession
     table = rates(docs, weights, alpha, epochs, source_col, text_col)
     # The table of rates has a row for each source; it is gathered with one row more than may be broadcast at most.
@@ -82,14 +89,14 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
         rated = docs.withColumn(join_col, known).join(F.broadcast(local), join_col, "left").drop(join_col)
     else:  # too many sources: an equi-join, where the rows of a hot source go to SALTS tasks
         side = table.select(F.concat(F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce("source", F.lit(""))).alias(join_col), F.col("rate").alias(rate), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
-        rated = docs.withColumns({join_col: known, salt: F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")}).join(side, [join_col, salt], "left").drop(join_col, salt)
+        rated = docs.withColumns({join_col: known, salt: F.pmod(F.xxhash64(id_col, place), F.lit(SALTS)).cast("int")}).join(side, [join_col, salt], "left").drop(join_col, salt)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     u = _hash52(F.concat(F.lit(f"{seed}:count:"), ident)) / F.lit(float(1 << 52))
     rated = rated.withColumn(count, _copies()(u, F.coalesce(F.col(rate), F.lit(1.0)))).where(F.col(count) > 0)
     copies = rated.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
     copies = copies.withColumn(key, _hash52(F.concat(F.lit(f"{seed}:order:"), ident, F.lit(":"), F.col(copy).cast("string"))))
-    shuffled = copies.repartition(F.col(key)).sortWithinPartitions(key, copy)
-    return shuffled.select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col(count), F.col(copy), F.col(key)] if extras else []))
+    shuffled = copies.repartition(F.col(key), F.col(place)).sortWithinPartitions(key, copy)
+    return shuffled.select(*[F.col(f"`{c}`") for c in columns], *([F.col(count), F.col(copy), F.col(key)] if extras else []))
 
 
 def _hash52(text):

@@ -120,12 +120,12 @@ ORACLE_SQL: dict[str, str] = {
     "op2_poisson_mixing": f"""
 with bytes as (select source, coalesce(sum(strlen(text)), 0)::DOUBLE as b from documents group by source),
  rate as (select source, case when b <= 0 then 1.0::DOUBLE else pow(b, 0.7::DOUBLE) / (select sum(pow(b, 0.7::DOUBLE)) from bytes) * (select sum(b) from bytes) / b end as r from bytes),
- term as (select source, k, exp(-r + k * ln(r) - lgamma(k + 1)) as p from rate, range(0, 200) t(k)),
+ term as (select source, k, exp(-r + k * ln(r) - lgamma(k + 1)) as p from (select source, r, unnest(range(0, (r + 12 * sqrt(r) + 60)::BIGINT)) as k from rate)),
  cdf as (select source, k, sum(p) over (partition by source order by k) as c from term),
  drawn as (select doc_id, source, text, {_HASH52.format("'17:count:' || coalesce(doc_id::VARCHAR, 'null')")} / 4503599627370496.0::DOUBLE as u from documents),
  counted as (select d.doc_id, d.source, d.text, (select count(*) from cdf c where c.source is not distinct from d.source and c.c <= d.u) as n from drawn d)
 select doc_id, source, n::BIGINT as n_copies, i::BIGINT as copy, {_HASH52.format("'17:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || i::VARCHAR")} as shuffle_key, md5(text) as text_md5
-from counted, range(0, 60) t(i) where i < n""",
+from (select *, unnest(range(0, n::BIGINT)) as i from counted)""",
     "op4_temporal_url_filter": f"""
 with captures as (select page_id, url, {START} + (page_id * 7919) % {YEAR} as fetched_at, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)', 2)) as host, lower(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1)) as path from pages),
  hosts as (select distinct host, md5(host) as m from captures where host <> ''),
@@ -141,7 +141,7 @@ select c.page_id, c.url, c.fetched_at, nullif(c.host, '') as host, v.n is not nu
 from captures c left join verdicts v on v.page_id = c.page_id and v.url = c.url and v.fetched_at = c.fetched_at""",
     "op5_chosen_path_join": r"""
 with recursive split as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents),
- grams as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from split, range(1, 30000) t(i) where len(w) >= 5 and i <= len(w) - 4 union select doc_id, array_to_string(w, ' ') from split where len(w) between 1 and 4),
+ grams as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from split where len(w) >= 5) union select doc_id, array_to_string(w, ' ') from split where len(w) between 1 and 4),
  sizes as (select doc_id, count(*) as n from grams group by doc_id),
  shared as (select x.doc_id as a, y.doc_id as b, count(*) as n from grams x join grams y on x.g = y.g and x.doc_id <> y.doc_id group by all),
  both_ways as materialized (select a, b, s.n = x.n and s.n = y.n as same from shared s join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 5 * s.n >= 4 * (x.n + y.n - s.n)),
@@ -155,7 +155,7 @@ with recursive usable as (select vec_id, embedding::DOUBLE[] as v from embedding
 select e.vec_id, (select count(*) from both_ways l where l.a = e.vec_id) as n_links, c.component_id, e.vec_id = c.component_id as kept from embeddings e join least c on c.node = e.vec_id""",
     "op8_fixed_block_dedup": r"""
 with split as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
- windows as (select doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) as g from split, range(1, 30000) t(i) where i <= len(w) - 12),
+ windows as (select doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from split where len(w) >= 13)),
  least as (select g, min(doc_id) as d from windows group by g),
  gone as (select doc_id, i from windows join least using (g) where doc_id > d),
  covered as (select distinct doc_id, i + k as place from gone, range(0, 13) t(k)),
@@ -163,7 +163,7 @@ with split as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09
 select doc_id, n::BIGINT as n_words, (n - len(k))::BIGINT as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept""",
     "op9_bwt_dedup": """
 with raw as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
- strings as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as g from raw, range(0, 400000) t(i) where 2 * i + 200 <= length(h)),
+ strings as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as g from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as i from raw where length(h) >= 200)),
  ranked as (select doc_id, i, row_number() over (partition by g order by doc_id, i) as r from strings),
  gone as (select doc_id, i, lag(i) over (partition by doc_id order by i) as was from ranked where r > 1),
  runs as (select doc_id, i, sum(case when was is null or i > was + 100 then 1 else 0 end) over (partition by doc_id order by i) as run from gone),
