@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_name, slices, small_batches, trim
@@ -178,21 +178,28 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"place": part.column("place"), "lang": part.column("lang"), "grams": pa.array(grams, pa.binary())})
 
 
-def fit(labelled: DataFrame, per_language: int = 300, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
+def fit(labelled: DataFrame, per_language: int = 300, seed: int = 11, text_col: str = "text", lang_col: str = "lang", **options) -> Model:
     """A model of rows with a text and a non-null language.
 
-    It learns from a sample of about per_language rows of each language (all of a smaller one), chosen by a hash of the
-    id alone, from all rows; whole texts, of which only sets of grams reach the driver. Nothing else bounds it.
+    It learns from a sample: of each language the per_language distinct texts whose hashes come first (all of a language
+    that has fewer), drawn from all rows. No more than that are learned from, however often a text or an id repeats, and
+    no language is left out. Texts are whole; only sets of their grams reach the driver. Without a row there is a model
+    of no language. Other columns are never looked at.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    held = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # Places from 0 to 2 ** 62 - 1. Equal texts of a language have one.
+    rows = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "lang", "text"), 2))
+    held = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.05).alias("n")).collect()}
     if not held:
         return train([], **options)
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    share = F.create_map(*[F.lit(x) for lang, n in held.items() for x in (lang, min(1.0, per_language / n))])
-    sample = rows.withColumn("place", place).where(F.col("place") < F.try_element_at(share, F.col("lang")))
-    got = sample.select("place", "lang", "text").mapInArrow(_gram_rows, "place double, lang string, grams binary").collect()
-    return train([(r.lang, np.frombuffer(bytes(r.grams), np.uint64)) for r in sorted(got, key=lambda r: (r.place, r.lang, bytes(r.grams)))], **options)
+    # Twice as many distinct texts as wanted, by an estimate of how many there are, are looked at for the first ones.
+    last = F.create_map(*[F.lit(x) for lang, n in held.items() for x in (lang, int(min(1.0, (2 * per_language + 100) / max(1, n)) * (1 << 62)))])
+    near = rows.where(F.col("place") < F.try_element_at(last, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("place")
+    first = near.select("lang", "place").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    texts = near.join(F.broadcast(first.select("lang", "place")), ["lang", "place"])  # per_language rows a language
+    got = texts.groupBy("lang", "place").agg(F.min("text").alias("text")).mapInArrow(_gram_rows, "place long, lang string, grams binary").collect()
+    return train([(r.lang, np.frombuffer(bytes(r.grams), np.uint64)) for r in sorted(got, key=lambda r: (r.place, r.lang))], **options)
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

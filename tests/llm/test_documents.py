@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -95,8 +96,6 @@ def test_hot_keys_get_slots_too(spark):
 
 
 def test_poisson_quantiles_against_their_definition():
-    import math
-
     u = np.random.default_rng(1).random(400)
     for rate in (0.0, 0.2, 1.0, 7.5, 90.0):
         got = mixing.poisson_quantile(u, np.full(400, rate))
@@ -125,9 +124,13 @@ def test_mixing_repeats_rows_by_count(docs):
 
 def test_mixing_spreads_the_copies_of_one_id(spark):
     rows = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"))
-    out = mixing.mixed(rows, weights={"s": 1.0}, epochs=3.0).withColumn("p", F.spark_partition_id())
-    sizes = [r["count"] for r in out.groupBy("p").count().collect()]
-    assert sum(sizes) % 4000 == 0 and (not sizes or max(sizes) < 0.6 * sum(sizes))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = mixing.mixed(rows, weights={"s": 1.0}, epochs=3.0).withColumn("p", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) % 4000 == 0 and max(sizes) < 0.6 * sum(sizes)
 
 
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -362,3 +365,45 @@ def test_languages_of_many_scripts(monkeypatch):
     for most in (0, 1 << 30):  # searched and looked up
         monkeypatch.setattr(langid, "MOST_DENSE", most)
         assert (langid.train(rows).presence(points, starts) == present).all()
+
+
+def test_the_language_sample_is_bounded_and_leaves_no_language_out(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(12))
+    rows = [(1, text("abcde"), "hot") for _ in range(1500)] + [(2, "one text for all", "same")] * 900 + [(i, text("fghij"), "cold") for i in range(40)] + [(7, "lone", "rare"), (8, None, "none"), (9, "x", None)]
+    taken = []
+    monkeypatch.setattr(langid, "train", lambda got, **options: taken.extend(got) or langid.Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert collections.Counter(lang for lang, _ in taken) == {"hot": 50, "same": 1, "cold": 40, "rare": 1}
+
+
+def test_kernel_ridge_against_the_whole_kernel():
+    """With every text a landmark, scores are those of kernel ridge regression on the full matrix of shared grams, one language against the rest."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(14))
+    langs = {"a": "abcdef", "b": "defghi", "c": "ghijab"}
+    texts = [(lang, make(letters)) for _ in range(7) for lang, letters in langs.items()]
+    fresh = [make(letters) for letters in langs.values()] + ["!!", "zzz", "abc"]
+
+    def grams(text):
+        s = " " + re.sub(r"[^a-z]+", " ", text.lower()).strip() + " "
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)} - {" "}
+
+    def sets(these):
+        points, starts = langid.code_points(pa.array(these))
+        return [langid.gram_set(points[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+
+    model = langid.train([(lang, s) for (lang, _), s in zip(texts, sets([t for _, t in texts]))], most_landmarks=1000, ridge=0.3)
+    train_sets, known = [grams(t) for _, t in texts], set().union(*(grams(t) for _, t in texts))
+    kernel = lambda x, y: len(x & y) / math.sqrt(max(1, len(x)) * max(1, len(y)))
+    k = np.array([[kernel(x, y) for y in train_sets] for x in train_sets])
+    y = np.array([[1.0 if lang == other else -0.5 for other in langs] for lang, _ in texts])
+    alpha = np.linalg.solve(k + 0.3 * np.eye(len(k)), y)  # the normal equations K(K + 0.3)a = Ky without their common K
+    want = np.array([[kernel(grams(t) & known, x) for x in train_sets] for t in fresh]) @ alpha
+    points, starts = langid.code_points(pa.array(fresh))
+    got = model.scores(model.presence(points, starts))
+    assert np.abs(got - want).max() < 1e-3
+    names, best = model.predict(pa.array(fresh))
+    assert [n for n in names if n != "und"] == [sorted(langs)[i] for i, t in zip(want.argmax(1), fresh) if t != "!!"] and names[3] == "und" and best[3] == 0
