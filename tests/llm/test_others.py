@@ -1,5 +1,8 @@
 """URL filter, vectors, sound and the pipeline against brute force."""
 
+import collections
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -7,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from regimelab.llm import audio, components, langid, ngram_join, registry, substring_dedup, url_filter, vector_dedup
+from regimelab.llm import audio, components, registry, url_filter, vector_dedup
 
 
 def test_url_filter_against_a_plain_scan(spark, monkeypatch):
@@ -141,38 +144,115 @@ def test_sound_aligns_with_its_shifted_and_noisy_copy(spark):
     assert audio.aligned(empty, F.col("rec_id") % 50 == 0).count() == 0
 
 
-def test_pipeline_stages_against_brute_force(spark, tmp_path):
+def word_grams(text, n=5):
+    w = (text or "").split()  # test texts hold no white space but blanks and line ends
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def near_copies_gone(rows):
+    """Rows (doc_id, text) that stay: one of each group that pairs of similarity 0.8 or more make; all pairs, plainly."""
+    sets = [word_grams(t) for _, t in rows]
+    stays = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo and rows[i][0] is not None:
+            k = todo.pop()
+            for j in range(len(rows)):
+                if j not in seen and rows[j][0] is not None and sets[j] and sets[k] and 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j]):
+                    seen.add(j)
+                    todo.append(j)
+        if rows[i][0] is None or (rows[i][0] == min(rows[j][0] for j in seen) and rows[i] not in rows[:i]):
+            stays.append(i)
+    return stays
+
+
+def windows_gone(rows, n=13):
+    """Texts of rows (doc_id, text) without words of windows that a smaller id holds."""
+    least = {}
+    for doc, text in rows:
+        w = (text or "").split()
+        for i in range(len(w) - n + 1 if doc is not None else 0):
+            least[tuple(w[i : i + n])] = min(doc, least.get(tuple(w[i : i + n]), doc))
+    out = []
+    for doc, text in rows:
+        w = (text or "").split()
+        gone = {i + k for i in range(len(w) - n + 1 if doc is not None else 0) if least[tuple(w[i : i + n])] < doc for k in range(n)}
+        out.append(" ".join(x for i, x in enumerate(w) if i not in gone) if gone else text)
+    return out
+
+
+def odd_documents():
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("aeioulmnprst") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    shared, base = prose(30), prose(80)
+    texts = [prose(rng.randint(8, 60)) + (" " + shared + " " + prose(5) if i % 7 == 0 else "") for i in range(60)]
+    texts += [base, base + " more", "some " + base, base]
+    rows = [(2 * i, t, "it", f"s{i % 3}") for i, t in enumerate(texts)]
+    rows += [rows[3]] * 20 + [(6, prose(40), "it", "s1"), (None, texts[5], None, None), (None, texts[5], None, None), (900, None, "it", "s1"), (902, "", "it", None), (904, "12 34 !", None, "s2"), (-2, texts[11], None, "s2")]
+    return [(*r, len(r[1] or ""), i, 1, 2, 3.0, "x", "y", 4, 5, 6) for i, r in enumerate(rows)]
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row int, kept_id int, kept_times int, score double, lang_pred string, kept_text string, copy int, batch_no int, place int"
+
+
+def test_pipeline_stages_against_plain_loops(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").write.parquet(f"file://{tmp_path}/documents.parquet")
-    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
     assert [name for name, _ in pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "substring dedup", "mixing to target weights", "packing"]
-    columns, last = docs.columns, None
-    for at, (name, stage) in enumerate(pipeline.STAGES):
-        out = stage(spark, docs, str(tmp_path))
-        out.write.parquet(f"file://{tmp_path}/{at}")
-        out = spark.read.parquet(f"file://{tmp_path}/{at}")
-        if at < 4:
-            assert out.columns == columns and out.dtypes == docs.dtypes
-        if at == 0:
-            assert out.join(docs, columns, "left_anti").count() == 0 and out.count() > 0.95 * docs.count()
-        elif at == 1:
-            groups = ngram_join.joined(docs).toPandas()
-            assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(groups[groups.kept].doc_id) and out.count() == groups.component_id.nunique()
-        elif at == 2:
-            texts = {r.doc_id: r.text for r in docs.collect()}
-            for r in substring_dedup.deduplicated(docs).collect():
-                texts[r.doc_id] = r.kept_text if r.n_removed else texts[r.doc_id]
-            assert {r.doc_id: r.text for r in out.collect()} == texts
-        elif at == 3:
-            held = {r.doc_id: r.text for r in docs.collect()}
-            assert all(held[r.doc_id] == r.text for r in out.collect()) and out.count() > 0
-        else:
-            tokens = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("each")).join(docs.groupBy("doc_id").count(), "doc_id").collect()
-            assert all(r.n == r.each * r["count"] for r in tokens) and len(tokens) == docs.select("doc_id").distinct().count()
-        docs, last = out, at
-    assert last == 4
-    assert pipeline.run(spark, f"file://{tmp_path}").count() == docs.count()
-    assert langid.UNKNOWN == "und"
+    stages, folder = dict(pipeline.STAGES), f"file://{tmp_path}"
+    made = odd_documents()
+    docs = spark.createDataFrame(made, ODD)
+    step = 0
+
+    def run(name, df):
+        nonlocal step
+        step += 1
+        out = stages[name](spark, df, folder)
+        if name != "packing":
+            assert out.columns == df.columns and out.dtypes == df.dtypes
+        out.write.parquet(f"{folder}/{step}")
+        return spark.read.parquet(f"{folder}/{step}")
+
+    first = run("language ID", docs)
+    assert sorted(r.row for r in first.collect()) == [r[5] for r in made if any(c.isalpha() for c in r[1] or "")]
+    assert first.join(docs, docs.columns, "left_anti").where("lang is not null and source is not null").count() == 0
+
+    rows = sorted(((r.doc_id, r.text, r.row) for r in docs.collect()), key=lambda r: r[2])
+    second = run("n-gram Jaccard join", docs)
+    got = sorted(((r.doc_id, r.text) for r in second.collect()), key=repr)
+    assert got == sorted((rows[i][:2] for i in near_copies_gone([r[:2] for r in rows])), key=repr) and len(got) < len(rows) - 20
+
+    third = run("substring dedup", docs)
+    assert {r.row: (r.text, r.n_chars) for r in third.collect()} == {r[2]: (t, len(t or "")) for r, t in zip(rows, windows_gone([r[:2] for r in rows]))}
+    assert sum(a[1] != b for a, b in zip(rows, windows_gone([r[:2] for r in rows]))) > 5
+
+    fourth = run("mixing to target weights", docs)
+    sizes, count = {}, {}
+    for r in made:
+        sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").encode())
+    shares = {k: v**0.7 for k, v in sizes.items()}
+    for r in made:
+        u = int(hashlib.md5(f"17:count:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        rate, k, below = shares[r[3]] / sum(shares.values()) * sum(sizes.values()) / sizes[r[3]], 0, 0.0
+        while (below := below + math.exp(-rate) * rate**k / math.factorial(k)) <= u:
+            k += 1
+        count[r[5]] = k
+    assert collections.Counter(r.row for r in fourth.collect()) == collections.Counter({k: v for k, v in count.items() if v})
+
+    fifth = run("packing", docs)
+    from tokenizers import Tokenizer
+
+    plain, whole = Tokenizer.from_file(registry.tokenizer_path()), collections.Counter()
+    for r in fifth.collect():
+        whole[r.doc_id, bytes(r.ids)] += 1
+    assert whole == collections.Counter((r[0], np.array([*plain.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in made)
+
+    docs.limit(0).write.parquet(f"{folder}/empty/documents.parquet")
+    assert pipeline.run(spark, f"{folder}/empty").count() == 0
+    docs.write.parquet(f"{folder}/odd/documents.parquet")
+    assert pipeline.run(spark, f"{folder}/odd").count() > 0
+    clean = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert stages["language ID"](spark, clean, folder).count() > 0.95 * clean.count()
 
 
 def test_registered_queries_have_the_contract_columns(spark):
