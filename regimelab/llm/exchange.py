@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_name, parts, small_batches, text_bytes, trim
+from .common import column_name, parts, placed, small_batches, text_bytes, trim
 
 ROW = "bucket int, batch int, kind int, blob binary"
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
@@ -71,11 +71,15 @@ class Records:
         return how.reduceat(values[self.order], self.starts) if len(self.starts) else values[:0]
 
     def blobs(self, *flags: np.ndarray) -> dict[int, bytes]:
-        """Of each bucket: lower halves, then a byte of flags and counts for each."""
+        """Of each bucket: lower halves, then a byte of two flags and a count for each, then 4 bytes for each count of 63 or more."""
         marks = np.minimum(self.counts, 63).astype(np.uint8)
         for i, flag in enumerate(flags):
             marks |= flag.astype(np.uint8) << np.uint8(6 + i)
-        return {bucket: self.low[a:b].tobytes() + marks[a:b].tobytes() for bucket, a, b in self.bounds}
+        out = {}
+        for bucket, a, b in self.bounds:
+            counts = self.counts[a:b]
+            out[bucket] = np.uint32(b - a).tobytes() + self.low[a:b].tobytes() + marks[a:b].tobytes() + counts[counts >= 63].astype(np.uint32).tobytes()
+        return out
 
     def answered(self, table: pa.Table, kind: int = HITS) -> tuple[np.ndarray, np.ndarray]:
         """Two bits for each record, from the buckets' answers."""
@@ -92,16 +96,18 @@ def meet(many: int) -> Callable[[pa.Table], pa.Table]:
     def answer(table: pa.Table) -> pa.Table:
         trim()
         got = unpacked(table, FIRST)
-        sizes = [len(blob) // 5 for _, _, blob in got]
-        low = np.concatenate([np.frombuffer(blob[: 4 * n], np.uint32) for (_, _, blob), n in zip(got, sizes)])
-        marks = np.concatenate([np.frombuffer(blob[4 * n :], np.uint8) for (_, _, blob), n in zip(got, sizes)])
+        sizes = [int(np.frombuffer(blob[:4], np.uint32)[0]) for _, _, blob in got]
+        low = np.concatenate([np.frombuffer(blob[4 : 4 + 4 * n], np.uint32) for (_, _, blob), n in zip(got, sizes)])
+        marks = np.concatenate([np.frombuffer(blob[4 + 4 * n : 4 + 5 * n], np.uint8) for (_, _, blob), n in zip(got, sizes)])
+        counts = (marks & 63).astype(np.int64)
+        counts[counts == 63] = np.concatenate([np.frombuffer(bytes(blob[4 + 5 * n :]), np.uint32) for (_, _, blob), n in zip(got, sizes)])
         order = np.argsort(low, kind="stable")
         first = np.concatenate([[True], np.diff(low[order]) != 0])
         starts, group = np.flatnonzero(first), np.cumsum(first) - 1
         marked = marks[order]
         held = np.diff(np.append(starts, len(low)))
         meets = ((held > 1) | np.logical_or.reduceat(marked & 128 > 0, starts)) & np.logical_or.reduceat(marked & 64 > 0, starts)
-        often = np.add.reduceat((marked & 63).astype(np.int64), starts) >= many
+        often = np.add.reduceat(counts[order], starts) >= many
         bits = np.zeros((2, len(low)), bool)
         bits[0, order], bits[1, order] = meets[group], (meets & often)[group]
         ends = np.cumsum(sizes)
@@ -116,9 +122,11 @@ def looked_at(docs: DataFrame, id_col: str, text_col: str, first: Callable, seco
     small_batches(docs.sparkSession)
     total = text_bytes(docs, text_col)
     batches, buckets = parts(total, BATCH_BYTES), parts(total, BUCKET_BYTES)
-    name = column_name(docs, "batch_no")
-    key = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col))), F.lit(batches)).cast("int")
-    dealt = docs.withColumn(name, key)
+    name, place = column_name(docs, "batch_no"), column_name(docs, "place")
+    # A row's place is part of the key, so that rows that repeat, and those without an id, are dealt over all batches.
+    docs = placed(docs, place)
+    key = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.octet_length(F.col(f"`{text_col}`")), place), F.lit(batches)).cast("int")
+    dealt = docs.withColumn(name, key).drop(place)
 
     def one(table: pa.Table) -> pa.Table:
         trim()
