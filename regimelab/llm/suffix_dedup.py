@@ -1,14 +1,15 @@
 """Removal of repeated byte strings by Burrows-Wheeler transforms of shards, merged by interleave refinement.
 
-Texts are cut into pieces around anchors: of every `length`-byte window, the least hashed gram (the leftmost of equals).
-Equal windows have equal anchors, so pieces that meet under an anchor's hash decide all of its windows, and only pieces
-whose anchor occurs twice travel. Pieces that are equal travel once.
+A shard is a batch of documents. First a filter: of every `length`-byte window the least hashed gram (the leftmost of
+equals) is its anchor. Equal windows have equal anchors, so pieces around an anchor's places decide all of its windows,
+and text around anchors that occur once is left out. Equal pieces of a shard, compared by their bytes, are kept once.
 
-Where they meet, pieces are put into shards. A shard's transform is built alone. Transforms are then merged as Holt and
-McMillan do: the interleave, which says from which shard each suffix of the merged order comes, starts anyhow and is
+Where pieces of one anchor meet, each shard's pieces have a transform of their own. Transforms are then merged as Holt
+and McMillan do: the interleave, which says from which shard each suffix of the merged order comes, starts anyhow and is
 refined by passes of the backward step, one symbol of common prefix a pass, without sorting suffixes again. Boundaries
-that no pass has drawn are common prefixes (as in the Gap algorithm of Egidi and Manzini). A symbol here is a block of
-`STRIDE` bytes, and the backward step goes back by as many, so that `length / STRIDE` passes are enough.
+that no pass has drawn are common prefixes (as in the Gap algorithm of Egidi and Manzini); suffixes with none between
+them are a repeated interval. A symbol here is a block of `STRIDE` bytes, numbered by its bytes, and the backward step
+goes back by as many, so that `length / STRIDE` passes are enough.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .exchange import ANSWER, FIRST, SECOND, Records, bounds, looked_at, rows, u
 
 GRAM, STRIDE = 40, 20
 CHUNK = 1 << 17  # positions hashed at once: arrays of 1 MB
-MERGE_BYTES, SHARDS = 200_000, 4
-MANY = 50_000  # pieces of one anchor; beyond it each window travels alone, dealt by its own hash
+MERGE_BYTES = 200_000
+MANY = 50_000  # pieces of one anchor; beyond it each window travels alone, dealt by its own hash, to meet its like
 
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[20])
@@ -59,6 +60,35 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (n - size)], values[n - size :])
 
 
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each run at a are those of the run of the same size (1 at least) at b."""
+    out, ends, begin = np.ones(len(sizes), bool), np.cumsum(sizes), 0
+    while begin < len(sizes):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 8 * CHUNK, "right")))
+        n = sizes[begin:stop]
+        differ = data[ranges(a[begin:stop], n)] != data[ranges(b[begin:stop], n)]
+        out[begin:stop] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        begin = stop
+    return out
+
+
+def _heads(data: np.ndarray, first: np.ndarray, size: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Where classes of equal runs begin, for runs in order of keys, the last two of which are halves of a digest.
+
+    Bytes are compared with the first run's of a class; runs of one digest that differ, if ever, are classes of one each.
+    """
+    head = np.zeros(len(first), bool)
+    head[:1] = True
+    for key in (*keys, size):
+        head[1:] |= key[1:] != key[:-1]
+    begins = np.flatnonzero(head)[np.cumsum(head) - 1] if len(head) else np.zeros(0, np.int64)
+    rest = np.flatnonzero(~head)
+    wrong = rest[~_same(data, first[rest], first[begins[rest]], size[rest])]
+    if len(wrong):
+        head |= np.isin(begins, begins[wrong])
+    return head
+
+
 class _Batch:
     """The bytes of a batch, and its runs of windows with one anchor: where the anchor stands, the first and the last window."""
 
@@ -126,9 +156,8 @@ class _Pieces:
         row = np.searchsorted(batch.offsets, first, "right") - 1
         self.id, self.start = batch.ids[row], first - batch.offsets[row]
         bucket = (group % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort([self.start, self.id, pair[:, 1], pair[:, 0], group, bucket])
-        p, g = pair[order], group[order]
-        head = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1]).any(1)]) if len(g) else np.zeros(0, bool)
+        order = np.lexsort([self.start, self.id, size, pair[:, 1], pair[:, 0], group, bucket])
+        head = _heads(batch.data, first[order], size[order], [group[order], pair[order, 0], pair[order, 1]])
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(head) - 1
         self.pick = order[head]  # the least of each class, for start and id come last in the order
@@ -146,22 +175,21 @@ class _Pieces:
         return out
 
 
-def _transform(symbols: np.ndarray, ends: np.ndarray, starts: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """One shard's suffixes in order of their first `passes` symbols, and the symbol before each (0 at the start of a sequence).
+def _transforms(symbols: np.ndarray, ends: np.ndarray, starts: np.ndarray, shard: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of each shard in order of their first `passes` symbols, one shard after another, and the symbol before each (0 at the start of a sequence).
 
-    symbols: at every position of the shard, 0 where a sequence ends. starts: the first position of the piece that a
-    position is in. ends: its last. The order comes from ranks of runs of 1, 2, 4, ... symbols.
+    symbols: at every position, 0 where a sequence ends. starts: the first position of the piece that a position is in.
+    ends: its last. Orders come from ranks, within the shard, of runs of 1, 2, 4, ... symbols.
     """
     n = len(symbols)
-    rank, depth, single = symbols.astype(np.int64), 1, symbols.astype(np.int64)
     position = np.arange(n)
+    single = np.unique((shard << 32) | symbols, return_inverse=True)[1].astype(np.int64)
+    rank, depth = single, 1
 
     def joined(front: np.ndarray, back: np.ndarray, step: int) -> np.ndarray:
         there = position + step * STRIDE
-        follow = np.where(there <= ends, back[np.minimum(there, n - 1)], 0)
-        key = (front << 32) | follow
-        values, out = np.unique(np.where(front > 0, key, 0), return_inverse=True)
-        return out.astype(np.int64) + (values[0] != 0 if len(values) else 0)
+        follow = np.where((symbols > 0) & (there <= ends), back[np.minimum(there, n - 1)] + 1, 0)
+        return np.unique((front << 32) | follow, return_inverse=True)[1].astype(np.int64)
 
     while depth < passes:
         if 2 * depth <= passes:
@@ -173,43 +201,47 @@ def _transform(symbols: np.ndarray, ends: np.ndarray, starts: np.ndarray, passes
     return order, np.where(before >= starts[order], symbols[np.maximum(before, 0)], 0)
 
 
-def _merge(transforms: list[tuple[np.ndarray, np.ndarray]], passes: int) -> tuple[np.ndarray, np.ndarray]:
+def _merge(order: np.ndarray, symbols: np.ndarray, shard: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of all shards in order of `passes` symbols, and the class of equal ones that each is in.
 
-    transforms: of each shard its suffixes in order and the symbol before each; as many suffixes are the empty ones of
-    sequences, first in order, as symbols are 0.
+    order and symbols: suffixes of each shard in order, one shard after another, and the symbol before each; shard: of
+    each suffix, from 0. In each shard as many suffixes are the empty ones of sequences, first in order, as symbols are 0.
     """
-    come_from = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(order) for order, _ in transforms])
-    n = len(come_from)
-    members = [np.flatnonzero(come_from == s) for s in range(len(transforms))]
-    empty = [int((before == 0).sum()) for _, before in transforms]
-    ended = np.repeat(np.arange(len(transforms), dtype=np.uint8), empty)
+    kind = np.uint16 if shard[-1] < 1 << 16 else np.uint32  # 16 bits are sorted by digits
+    n, come_from = len(order), shard.astype(kind)
+    ended = come_from[symbols == 0]
     drawn = np.zeros(n, np.int64)  # classes of suffixes that agree so far; sequences that have ended agree with none
     before = np.empty(n, np.int64)
     for _ in range(passes):
-        for s, (_, symbols) in enumerate(transforms):
-            before[members[s]] = symbols
+        before[np.argsort(come_from, kind="stable")] = symbols
         inner = np.flatnonzero(before)
         key = np.sort((before[inner] << 32) | np.arange(len(inner)))
-        order = inner[key & 0xFFFFFFFF]
-        symbol, was = key >> 32, drawn[order]
-        come_from = np.concatenate([ended, come_from[order]])
-        new = np.concatenate([[True], (np.diff(symbol) != 0) | (np.diff(was) != 0)]) if len(order) else np.zeros(0, bool)
+        step = inner[key & 0xFFFFFFFF]
+        symbol, was = key >> 32, drawn[step]
+        come_from = np.concatenate([ended, come_from[step]])
+        new = np.concatenate([[True], (np.diff(symbol) != 0) | (np.diff(was) != 0)]) if len(step) else np.zeros(0, bool)
         drawn = np.concatenate([np.arange(len(ended)), len(ended) + np.cumsum(new) - 1])
-        members = [np.flatnonzero(come_from == s) for s in range(len(transforms))]
     suffix = np.empty(n, np.int64)
-    for s, (order, _) in enumerate(transforms):
-        suffix[members[s]] = order
+    suffix[np.argsort(come_from, kind="stable")] = order
     return suffix, drawn
 
 
-def repeated(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+def _symbols(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers from 1 for the STRIDE bytes at each place, equal for equal bytes: by hash, and then compared."""
+    blocks = np.lib.stride_tricks.sliding_window_view(data, STRIDE)
+    _, first, number = np.unique(_block_hashes(data, STRIDE)[at], return_index=True, return_inverse=True)
+    if (blocks[at] != blocks[at[first[number]]]).any():
+        number = np.unique(np.ascontiguousarray(blocks[at]).view(f"V{STRIDE}").ravel(), return_inverse=True)[1]
+    return number + 1
+
+
+def repeated(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, starts: np.ndarray, shards: np.ndarray, length: int) -> np.ndarray:
     """Which windows of the pieces, one piece's after another's, equal one with a smaller (id, start).
 
-    data: the pieces' bytes one after another; ids and starts: where each piece's first window stands.
+    data: the pieces' bytes one after another; ids and starts: where each piece's first window stands; shards: the shard
+    of each piece.
     """
     passes = length // STRIDE
-    blocks = _block_hashes(data, STRIDE)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     wide = sizes + 1  # a position more, where the sequence that ends with the piece's last byte stops
     base = np.concatenate([[0], np.cumsum(wide)])
@@ -217,16 +249,10 @@ def repeated(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, starts: np.nd
     inside = np.arange(base[-1]) - base[piece]
     filled = inside <= sizes[piece] - STRIDE
     symbols = np.zeros(base[-1], np.int64)
-    symbols[filled] = np.unique(blocks[(offsets[piece] + inside)[filled]], return_inverse=True)[1] + 1
-    shard_of = np.minimum(np.arange(len(sizes)) * SHARDS // max(1, len(sizes)), SHARDS - 1)
-    transforms = []
-    for s in range(SHARDS):
-        mine = np.flatnonzero(shard_of == s)
-        if len(mine):
-            a, b = base[mine[0]], base[mine[-1] + 1]
-            order, before = _transform(symbols[a:b], (base[piece[a:b] + 1] - 1) - a, base[piece[a:b]] - a, passes)
-            transforms.append((order + a, before))
-    suffix, drawn = _merge(transforms, passes)
+    symbols[filled] = _symbols(data, (offsets[piece] + inside)[filled])
+    shard = np.unique(shards, return_inverse=True)[1].astype(np.int64)[piece]
+    order, before = _transforms(symbols, base[piece + 1] - 1, base[piece], shard, passes)
+    suffix, drawn = _merge(order, before, shard[order], passes)
     whole = inside[suffix] <= sizes[piece[suffix]] - length
     suffix, drawn = suffix[whole], drawn[whole]
     at = piece[suffix]
@@ -250,12 +276,12 @@ def _meet_pieces(length: int):
         heads = np.concatenate([np.frombuffer(blob[8 : 8 + 32 * n], np.int64).reshape(4, n) for (_, _, blob), n in zip(got, counts)], axis=1)
         data = np.concatenate([np.frombuffer(blob[8 + 32 * n :], np.uint8) for (_, _, blob), n in zip(got, counts)])
         group, ids, starts, sizes = heads
+        shards = np.repeat(np.arange(len(got)), counts)  # a batch is a shard
         at = np.cumsum(sizes) - sizes
         view = memoryview(data)
         pair = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a : a + n]) for a, n in zip(at.tolist(), sizes.tolist())), np.uint64).reshape(-1, 2)
-        order = np.lexsort([starts, ids, pair[:, 1], pair[:, 0], group])
-        p, g = pair[order], group[order]
-        head = np.concatenate([[True], (np.diff(g) != 0) | (p[1:] != p[:-1]).any(1)])
+        order = np.lexsort([starts, ids, sizes, pair[:, 1], pair[:, 0], group])
+        head = _heads(data, at[order], sizes[order], [group[order], pair[order, 0], pair[order, 1]])
         pick = order[head]  # one of each set of equal pieces, the earliest
         windows = sizes - length + 1
         first = np.cumsum(windows) - windows
@@ -276,7 +302,7 @@ def _meet_pieces(length: int):
             while stop < len(pick) and not new[stop]:
                 stop += 1
             run = pick[begin:stop]
-            bits[ranges(first[run], windows[run])] |= repeated(data[ranges(at[run], sizes[run])], sizes[run], ids[run], starts[run], length)
+            bits[ranges(first[run], windows[run])] |= repeated(data[ranges(at[run], sizes[run])], sizes[run], ids[run], starts[run], shards[run], length)
             begin = stop
         out, k = [], 0
         upto = np.cumsum(counts)

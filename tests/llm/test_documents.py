@@ -284,13 +284,26 @@ def test_suffixes_against_a_plain_scan(docs, monkeypatch, many):
     assert sorted(have, key=repr) == sorted(want, key=repr)
 
 
+def test_bytes_decide_where_hashes_clash(monkeypatch):
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    data[200:330] = data[20:150]
+    sizes, ids, starts = np.array([200, 200]), np.array([1, 2]), np.array([0, 0])
+    want = suffix_dedup.repeated(data, sizes, ids, starts, ids, 100)
+    monkeypatch.setattr(suffix_dedup, "_block_hashes", lambda x, n: np.arange(max(0, len(x) - n + 1), dtype=np.uint64) % np.uint64(3))
+    assert suffix_dedup.repeated(data, sizes, ids, starts, ids, 100).tolist() == want.tolist() and want.any()
+    first, size, key = np.array([20, 200, 21, 200]), np.array([100] * 4), np.zeros(4)
+    assert suffix_dedup._heads(data, first[:2], size[:2], [key[:2]]).tolist() == [True, False]
+    assert suffix_dedup._heads(data, first, size, [key]).tolist() == [True] * 4
+
+
 def test_merged_transforms_group_equal_strings():
     rng = np.random.default_rng(5)
     parts = [rng.integers(97, 99, n).astype(np.uint8) for n in (150, 240, 180, 130, 300)]
     parts[1][20:140] = parts[0][10:130]
     parts[3] = parts[2][:130].copy()
     ids, starts = np.array([5, 2, 9, 1, 7]), np.array([0, 50, 3, 8, 0])
-    got = suffix_dedup.repeated(np.concatenate(parts), np.array([len(p) for p in parts]), ids, starts, 100)
+    got = suffix_dedup.repeated(np.concatenate(parts), np.array([len(p) for p in parts]), ids, starts, np.array([3, 0, 3, 9, 0]), 100)
     at = [(int(i), int(s) + k, bytes(p[k : k + 100])) for p, i, s in zip(parts, ids, starts) for k in range(len(p) - 99)]
     least = {}
     for i, s, text in at:
