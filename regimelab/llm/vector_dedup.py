@@ -1,9 +1,11 @@
 """Near-duplicate vectors by hierarchical navigable small worlds (Malkov and Yashunin, 2018), one graph a shard.
 
 Equal vectors are one class. Classes are dealt into shards by a hash; each shard builds its graph once, and every class
-searches every shard, in blocks of queries. A block widens its beam until an audit of some of its queries against the
-whole shard finds what it must, and widens it further for each query whose beam holds nothing but links. Cosines of
-what is found are taken anew in double precision; blocks return counts of links and a spanning forest, never the pairs.
+searches every shard, in blocks of queries of a shard's size. So a graph is copied as often as there are shards, and a
+vector travels as often. A block widens its beam until an audit of some of its queries against the whole shard finds
+what it must, and widens it further for each query whose beam holds nothing but links; the audit is held against the
+final result too, and a block that fails it is compared with the whole shard. Cosines of what is found are taken anew in
+double precision; blocks return counts of links and a spanning forest, never the pairs.
 
 Insertions and searches run many at a time, as steps over arrays.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import parts, written
 from .components import forest, verdicts
 
-LEAST_SHARDS, SHARD_VECTORS, BLOCK_VECTORS = 8, 200_000, 8192
+LEAST_SHARDS, SHARD_BYTES = 8, 32 << 20  # bytes of a shard's vectors in double precision, whatever their length
 DEGREE, BUILD_BEAM, BEAM, EXPAND = 16, 48, 32, 4
 AUDITED, AUDIT_RECALL = 256, 0.999
 MOST_CELLS = 1 << 25  # of a visited table
@@ -166,17 +168,20 @@ def build(vectors: np.ndarray, draws: np.ndarray) -> tuple[Graph, np.ndarray]:
 def within(graph: Graph, queries: np.ndarray, threshold: float, audit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, vector) with a similarity of at least threshold.
 
-    audit: the queries whose pairs are also counted against all vectors; the beam doubles until what is found of them is
-    enough, and then for each query whose beam holds nothing below the threshold.
+    audit: the queries whose pairs are also counted against all vectors. The beam doubles until the mean share of pairs
+    found, over audited queries that have any, is AUDIT_RECALL of those a beam can hold, and then for each query whose
+    beam holds nothing below the threshold. Where the final result falls short of the audit, all queries are compared
+    with all vectors.
     """
     n = len(graph.vectors)
     if not n or not len(queries):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     beam = min(BEAM, n)
-    truth = np.concatenate([np.zeros(0, np.int64), *((queries[audit[at : at + 64]] @ graph.vectors.T >= threshold).sum(1) for at in range(0, len(audit), 64))])
-    while beam < n and truth.any():
-        found = (graph.search(queries[audit], beam)[1] >= threshold).sum(1)
-        if found.sum() >= AUDIT_RECALL * np.minimum(truth, beam).sum():
+    truth = np.bincount(_near_all(graph.vectors, queries[audit], threshold)[0], minlength=len(audit))
+    linked, truth = audit[truth > 0], truth[truth > 0]
+    while beam < n and len(linked):
+        found = (graph.search(queries[linked], beam)[1] >= threshold).sum(1)
+        if (found / np.minimum(truth, beam)).mean() >= AUDIT_RECALL:
             break
         beam = min(2 * beam, n)
     todo, a, b = np.arange(len(queries)), [], []
@@ -187,6 +192,19 @@ def within(graph: Graph, queries: np.ndarray, threshold: float, audit: np.ndarra
         a.append(todo[row])
         b.append(ids[row, col])
         todo, beam = todo[full], min(2 * beam, n)
+    a, b = np.concatenate(a), np.concatenate(b)
+    if len(linked) and (np.bincount(a, minlength=len(queries))[linked] / truth).mean() < AUDIT_RECALL:
+        return _near_all(graph.vectors, queries, threshold)
+    return a, b
+
+
+def _near_all(vectors: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) of at least the threshold, by matrix products of all with all."""
+    rows, a, b = max(1, MOST_CELLS // 4 // max(1, len(vectors))), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(queries), rows):
+        q, v = np.nonzero(queries[at : at + rows] @ vectors.T >= threshold)
+        a.append(at + q)
+        b.append(v)
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -273,8 +291,8 @@ def linked(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", v
     usable = features.where(F.col("vec_id").isNotNull() & F.col("node").isNotNull())
     classes = usable.groupBy("node").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("docs"), F.first("vector").alias("vector"))
     classes = written(classes.withColumn("dim", F.octet_length("vector")), "classes")
-    n = classes.count()
-    shards, blocks = parts(n, SHARD_VECTORS, LEAST_SHARDS), parts(n, BLOCK_VECTORS)
+    # Blocks of queries are as large as shards, so neither grows with the table; the least of them sets how many tasks there are.
+    shards = blocks = parts(classes.agg(F.coalesce(F.sum("dim"), F.lit(0))).first()[0], SHARD_BYTES, LEAST_SHARDS)
     placed = classes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     index = written(placed.select("dim", "shard", "node", "docs", "vector").groupBy("dim", "shard").applyInArrow(_index, "dim int, shard int, index binary"), "graphs")
     queries = classes.select("dim", "node", "vector", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))

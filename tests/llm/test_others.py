@@ -100,6 +100,20 @@ def test_graph_search_recall():
     assert (near[:, :10] >= truth[:, :1] - 1e-6).mean() > 0.9
 
 
+def test_a_block_that_fails_its_audit_is_compared_with_all():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 12))
+    vectors = vector_dedup._unit(np.concatenate([c + rng.normal(size=(n, 12)) * 0.05 for c, n in zip(centres, [900] + [6] * 39)]))
+    graph, order = vector_dedup.build(vectors, rng.random(len(vectors)))
+    queries = vectors.astype(np.float32)
+    want = {(q, v) for q, v in zip(*np.nonzero(queries @ graph.vectors.T >= 0.9))}
+    audit = np.arange(0, len(queries), 4)
+    found = set(zip(*vector_dedup.within(graph, queries, 0.9, audit)))
+    assert found <= want and len(found) > 0.999 * len(want)
+    cut = vector_dedup.Graph(graph.vectors, [np.full_like(graph.layers[0], -1)])  # no edges: nothing but the entry is found
+    assert set(zip(*vector_dedup.within(cut, queries, 0.9, audit))) == want
+
+
 def test_components_of_long_and_wide_graphs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 200)] + [(400, 401), (401, 400), (500, 500), (450, 399)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
