@@ -6,16 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import replaced, with_totals, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step. Least neighbours come from grouped minima and joins back, where a hub's edges meet in one task unless Spark's skew join splits it."""
+    """One large-star and one small-star step. Least neighbours come back to edges by a salted join, so that a hub's edges stay dealt out."""
+    least = [F.min("b").alias("m")], [F.min("m").alias("m")]
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    return large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+    large = with_totals(both, "a", "b", *least).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+    return with_totals(large, "a", "b", *least).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
-        mark, held = now, written(_stars(held), "stars")
+        mark, held = now, replaced(held, _stars(held), "stars")
     found = held.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(held.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     lone = alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.unionAll(lone)

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, U64, complete, gram_hashes, mix, parts, slices, small_batches, trim, words, written
+from .common import MULTIPLIERS, U64, complete, gram_hashes, mix, parts, slices, small_batches, trim, with_totals, words, written
 from .components import components, forest, verdicts
 
 COORDINATES, DEPTH, LEAF = 64, 4, 64
 SLACK = 0.2  # four standard deviations of an estimate from 64 coordinates
-BLOCK_SETS, BLOCK_GRAMS = 2048, 2_000_000
+BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(5))
 _FLIP = _RNG.integers(0, 2**32, COORDINATES, dtype=np.uint32)
 _FACTOR = _RNG.integers(0, 2**31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -156,16 +156,17 @@ def _candidates(classes: DataFrame, threshold: float, recall: float) -> DataFram
     going = sketches.mapInArrow(_roots(runs_for(threshold, recall), threshold), "path long, node long")
     cells, deep = [], None
     for level in range(1, DEPTH + 1):
-        sizes = going.groupBy("path").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        met = written(going.join(sizes, "path"), "paths")
+        partial, final = [F.count(F.lit(1)).alias("n"), F.min("node").alias("least")], [F.sum("n").alias("sets"), F.min("least").alias("least")]
+        met = with_totals(going, "path", "node", partial, final, "sets > 1")
+        met = written(met if level == DEPTH else met.drop("least"), "paths")
         cells.append(met.where(F.col("sets") <= LEAF).groupBy("path").agg(F.array_sort(F.collect_list("node")).alias("cell")).select("cell"))
-        large = met.where(F.col("sets") > LEAF).select("path", "node")
+        large = met.where(F.col("sets") > LEAF)
         if level == DEPTH:
-            deep = large.join(large.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b")
+            deep = large.select(F.col("node").alias("a"), F.col("least").alias("b"))
         elif large.isEmpty():
             break
         else:
-            going = large.join(sketches, "node").select("path", "node", "sketch").mapInArrow(_deeper(threshold), "path long, node long")
+            going = large.select("path", "node").join(sketches, "node").select("path", "node", "sketch").mapInArrow(_deeper(threshold), "path long, node long")
     leaves = cells[0]
     for more in cells[1:]:
         leaves = leaves.unionAll(more)
@@ -177,15 +178,22 @@ def _candidates(classes: DataFrame, threshold: float, recall: float) -> DataFram
 
 
 def _row_sets(n: int):
-    """The gram sets of class members, one text of each class."""
+    """The gram sets of class members, one text of each class. Rows may repeat the id and text that stand for a class: a task sends its set once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             trim()
             for part in slices(batch, "text", 4 << 20):
+                fresh = [k for k, node in enumerate(part.column("node").to_pylist()) if node not in sent]
+                part = part.take(pa.array(fresh, pa.int64()))
                 grams, offsets = gram_sets(part.column("text"), n)
                 sets = [grams[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-                right = np.array([_node(s) for s in sets], np.int64) == part.column("node").to_numpy()
+                nodes, right = part.column("node").to_pylist(), np.zeros(len(sets), bool)
+                for k, (s, node) in enumerate(zip(sets, nodes)):
+                    if node not in sent and _node(s) == node:
+                        right[k] = True
+                        sent.add(node)
                 out = part.drop_columns(["text"]).append_column("grams", pa.array([s.tobytes() for s in sets], pa.binary()))
                 yield out.filter(pa.array(right))
 
@@ -283,8 +291,8 @@ def joined(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
 
     held = groups.join(classes.drop("sketch"), "node")
     sums = held.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_grams").alias("all_grams"))
-    total = sums.agg(F.coalesce(F.sum("all_grams"), F.lit(0))).first()[0]
-    bins = parts(total, BLOCK_GRAMS)
+    total = sums.agg(F.coalesce(F.sum("all_grams"), F.lit(0)).alias("grams"), F.coalesce(F.sum("sets"), F.lit(0)).alias("sets")).first()
+    bins = max(parts(total.grams, BLOCK_GRAMS), parts(total.sets, BLOCK_SETS))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all_grams") / BLOCK_GRAMS)).cast("int")
     placed = held.join(sums, "group").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A group in one block shares a bin with others; a larger one has a bin for each pair of its blocks.
