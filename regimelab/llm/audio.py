@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import parts, ranges, written
 
 RATE, FRAME, HOP = 11025, 4096, 1365
+FRAMES_AT_ONCE = 256  # spectra held at a time, however long a recording is
 LOW_HZ, HIGH_HZ = 28.0, 3520.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 WIDTH = 16
@@ -29,16 +30,42 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 QUERY_BLOCK, BLOCK, MOST_MET = 10_000, 20_000, 1_000_000
 
 
+def _mono(raw: bytes, channels: int, width: int) -> np.ndarray:
+    """The mean of all channels, on the scale of 16-bit samples. 8-bit samples are unsigned, as WAV has them."""
+    whole = len(raw) // (channels * width) * channels * width
+    data = np.frombuffer(raw[:whole], np.uint8).reshape(-1, width)
+    if width == 1:
+        samples = (data[:, 0].astype(np.float32) - 128) * 256
+    else:  # the two highest bytes are all that the scale needs, but lower ones are kept as fractions
+        high = np.ascontiguousarray(data[:, -2:]).view("<i2")[:, 0].astype(np.float32)
+        samples = high + sum(data[:, -3 - k].astype(np.float32) / 256 ** (k + 1) for k in range(width - 2))
+    return samples.reshape(-1, channels).mean(1, dtype=np.float32)
+
+
+def _resampled(samples: np.ndarray, rate: int) -> np.ndarray:
+    """Samples at RATE: a low pass below half of the lower rate (a Hamming-windowed sinc), then straight lines between."""
+    if rate == RATE or not len(samples):
+        return samples
+    cut = 0.5 * min(1.0, RATE / rate)
+    reach = int(16 / cut)
+    t = np.arange(-reach, reach + 1)
+    taps = 2 * 0.9 * cut * np.sinc(2 * 0.9 * cut * t) * np.hamming(len(t))
+    if rate > RATE:
+        samples = np.convolve(samples, (taps / taps.sum()).astype(np.float32), "same")[: len(samples)] if len(samples) > len(taps) else samples
+    at = np.arange(int(len(samples) * RATE / rate)) * (rate / RATE)
+    return np.interp(at, np.arange(len(samples)), samples).astype(np.float32)
+
+
 def decode_wav(column: pa.Array) -> list[np.ndarray]:
-    """Samples of 16-bit mono WAV bytes at RATE; none for a null or anything else."""
+    """Samples at RATE of WAV bytes, of any rate, of one channel or more, and of 1 to 4 bytes each (whole numbers); none for a null or anything else."""
     out = []
     for blob in column.to_pylist():
-        samples = np.zeros(0)
+        samples = np.zeros(0, np.float32)
         if blob:
             try:
                 with wave.open(io.BytesIO(blob)) as sound:
-                    if (sound.getnchannels(), sound.getsampwidth(), sound.getframerate()) == (1, 2, RATE):
-                        samples = np.frombuffer(sound.readframes(sound.getnframes()), "<i2").astype(np.float32)
+                    if 1 <= sound.getsampwidth() <= 4 and sound.getframerate() > 0:
+                        samples = _resampled(_mono(sound.readframes(sound.getnframes()), sound.getnchannels(), sound.getsampwidth()), sound.getframerate())
             except (wave.Error, EOFError):
                 pass
         out.append(samples)
@@ -49,12 +76,14 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     """Frames by 12 pitch classes, smoothed over five frames and scaled to length 1 (a silent frame is zero)."""
     if len(samples) < FRAME:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP] * np.hamming(FRAME).astype(np.float32)
-    energy = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    hertz = np.arange(energy.shape[1]) * RATE / FRAME
+    hertz = np.arange(FRAME // 2 + 1) * RATE / FRAME
     used = (hertz >= LOW_HZ) & (hertz <= HIGH_HZ)
-    note = np.round(12 * np.log2(hertz[used] / 440.0)).astype(np.int64) % 12
-    classes = energy[:, used] @ np.eye(12)[note]
+    pitch = np.eye(12)[np.round(12 * np.log2(hertz[used] / 440.0)).astype(np.int64) % 12]
+    frames, bell = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP], np.hamming(FRAME).astype(np.float32)
+    classes = np.zeros((len(frames), 12))
+    for at in range(0, len(frames), FRAMES_AT_ONCE):
+        energy = np.abs(np.fft.rfft(frames[at : at + FRAMES_AT_ONCE] * bell, axis=1)) ** 2
+        classes[at : at + FRAMES_AT_ONCE] = energy[:, used] @ pitch
     if len(classes) < len(SMOOTH):
         return np.zeros((0, 12))
     smooth = sum(w * classes[i : len(classes) - len(SMOOTH) + 1 + i] for i, w in enumerate(SMOOTH))
@@ -103,7 +132,9 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 def fingerprints(recordings: DataFrame, id_col: str, audio_col: str, decode: Callable[[pa.Array], list[np.ndarray]] = decode_wav) -> DataFrame:
     """rec_id and fingerprint (array of int, the 32 bits as a signed number) of every recording.
 
-    A null, unreadable or short recording has an empty fingerprint. Rows that repeat come back each.
+    A null, unreadable or short recording has an empty fingerprint. A long one is worked off in runs of frames, so that
+    besides its samples only its frames' 12 pitch classes are held. Rows that repeat come back each; of an empty table
+    nothing does. Other columns are ignored, whatever their names.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +232,7 @@ def aligned(prints: DataFrame, queries, most_error: float = 0.15, least_votes: i
     least_overlap frames in common and an error rate of at most most_error.
 
     A recording without an id, or with an empty fingerprint, matches nothing and is its own class. Rows that repeat come
-    back each. Blocks of queries meet blocks of recordings; what one returns is a row a recording, however many align.
+    back each; of an empty table nothing does. Blocks of queries meet blocks of recordings; what one returns is a row a recording, however many align.
     """
     known = prints.where(F.col("rec_id").isNotNull() & (F.size("fingerprint") > 0))
     classes = written(known.groupBy("fingerprint").agg(F.min("rec_id").alias("class_id"), F.max(queries).alias("asked")), "recordings")

@@ -131,19 +131,69 @@ def melody(seed, seconds=9.0):
     return np.concatenate(out) * 3000
 
 
-def wav(samples):
+def wav(samples, rate=audio.RATE, channels=1, width=2):
     import io
     import wave
 
     held = io.BytesIO()
     with wave.open(held, "wb") as out:
-        out.setnchannels(1)
-        out.setsampwidth(2)
-        out.setframerate(audio.RATE)
-        out.writeframes(np.clip(samples, -32000, 32000).astype("<i2").tobytes())
+        out.setnchannels(channels)
+        out.setsampwidth(width)
+        out.setframerate(rate)
+        whole = np.repeat(np.clip(samples, -32000, 32000).astype(np.int64), channels)
+        data = (whole * 256 ** (width - 2)).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width] if width > 1 else (whole // 256 + 128).astype(np.uint8)
+        out.writeframes(data.tobytes())
     return held.getvalue()
 
 
+def test_sounds_of_any_rate_channels_and_width():
+    t = np.arange(4 * 44100) / 44100
+    tune = sum(np.where((t * 2).astype(int) % 4 == k, np.sin(2 * np.pi * f * t), 0) for k, f in enumerate((262, 330, 392, 523))) * 9000
+    plain = audio.fingerprint(audio.decode_wav(pa.array([wav(tune[::4])]))[0])
+    for rate, channels, width, samples in ((44100, 1, 2, tune), (44100, 2, 3, tune), (22050, 1, 4, tune[::2]), (11025, 2, 1, tune[::4]), (48000, 1, 2, np.interp(np.arange(4 * 48000) / 48000, t, tune))):
+        got = audio.fingerprint(audio.decode_wav(pa.array([wav(samples, rate, channels, width)]))[0])
+        n = min(len(got), len(plain))
+        assert abs(len(got) - len(plain)) <= 1 and np.bitwise_count(got[:n] ^ plain[:n]).sum() < 0.08 * 32 * n, (rate, channels, width)
+    assert np.allclose(audio.chroma(tune[::4].astype(np.float32)), audio.chroma(np.concatenate([tune[::4]] * 40).astype(np.float32))[: len(audio.chroma(tune[::4].astype(np.float32)))], atol=1e-5)
+
+
+def test_alignments_against_all_pairs_and_offsets(spark):
+    """The registered search on vectors that are sung, held against every offset of every pair."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(12, 64))
+    vectors = [b + rng.normal(size=64) * s for b in base for s in (0, 0.02, 0.1, 0.3, 0.6)] + [np.roll(base[0], 5 * k) for k in (1, -2)] + [base[1], base[1]]
+    rows = [(10 * i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(7, None), (None, vectors[0].tolist()), (50, vectors[3].tolist())]
+    prints = audio.fingerprints(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", audio.sung)
+    got = audio.aligned(prints, F.col("rec_id") % 50 == 0).collect()
+    codes = [tuple(np.array(r.fingerprint, np.int32).view(np.uint32).tolist()) for r in prints.orderBy(F.col("rec_id").asc_nulls_first(), "fingerprint").collect()]
+    ids = [r.rec_id for r in prints.orderBy(F.col("rec_id").asc_nulls_first(), "fingerprint").collect()]
+    least, asked = {}, set()
+    for i, c in zip(ids, codes):
+        if i is not None and c:
+            least[c] = min(i, least.get(c, i))
+            asked |= {c} if i % 50 == 0 else set()
+
+    def best(q, r):
+        near = np.bitwise_count(np.array(q, np.uint32)[:, None] ^ np.array(r, np.uint32)[None, :]) <= 1
+        votes = collections.Counter((int(b) - int(a)) for a, b in zip(*np.nonzero(near)))
+        if not votes:
+            return None
+        shift = min(votes, key=lambda s: (-votes[s], abs(s), s))
+        first = max(0, -shift)
+        n = min(len(q) - first, len(r) - first - shift)
+        if votes[shift] < 2 or n < 12:
+            return None
+        wrong = int(np.bitwise_count(np.array(q[first : first + n], np.uint32) ^ np.array(r[first + shift : first + shift + n], np.uint32)).sum())
+        return (wrong / (32 * n), shift) if wrong <= 0.15 * 32 * n else None
+
+    want = collections.Counter()
+    for i, c in zip(ids, codes):
+        found = [(*m, least[q]) for q in asked if i is not None and c and q != c and (m := best(q, c)) is not None]
+        want[i, tuple((rate, k, shift) for rate, shift, k in sorted(found, key=lambda x: (x[0], x[2])))] += 1
+    have = collections.Counter((r.rec_id, tuple(zip(r.error_rates, r.matches, r.offsets))) for r in got)
+    assert have == want and sum(len(k[1]) for k in want) > 20
+
+
 def test_sound_aligns_with_its_shifted_and_noisy_copy(spark):
     rng = np.random.default_rng(0)
     tune = melody(1, 14)
