@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import CORE_FEATURES
+from .config import CONFIG, HAR, PHYSICS
 from .functions.win import rolling, zscore
 from .operators import backtest, estimators, events, factors, forecasts, metrics, physics, quality, regimes, targets
-from .oracle import sql
-from .plans.study import PHYSICS, Study
-from .sources import tables
+from .oracle import FACTORS, HORIZONS, sql
+from .plans.study import Study
+from .sources import kept, tables
 from .streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,7 @@ def query(text: str | None = None, digits: str = "", exact: str = ""):
             df = f(spark, sf_dir)
             columns = [*exact.split(), *digits.split()] if text else df.columns
             rounded = set(digits.split()) if text else {c for c, kind in df.dtypes if kind == "double"}
-            return df.select(*[(F.round(F.col(c), 6) + 0.0).alias(c) if c in rounded else F.col(c) for c in columns])
+            return df.select(*[(F.round(F.col(f"`{c}`"), 6) + 0.0).alias(c) if c in rounded else F.col(f"`{c}`") for c in columns])
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
@@ -83,16 +83,24 @@ def _z(spark, d):
     return made.unpivot(["pos"], SIGNALS, "signal", "value").where("value is not null")
 
 
+MODELS = ["RandomWalk", "EWMA", "HAR"]
+
+
 def _forecast(spark, d):
-    rows = targets.targets(forecasts.ewma(forecasts.random_walk(_masked(spark, d))), (1,))
-    return rows.select("ticker", "pos", "date", "transition", "target_h1", "RandomWalk", "EWMA")
+    """The models that SQL can say, on the rows of the matrix without features."""
+    rv = _rv(spark, d)
+    rows = forecasts.walk_forward_ols(targets.transition_rows(targets.model_matrix(rv), _labels(spark, d)), list(HAR), "target_h1", "HAR")
+    rows = rows.withColumn("RandomWalk", F.col("rv_d")).join(forecasts.ewma(rv).select("ticker", "date", "EWMA"), ["ticker", "date"])
+    return rows.select("ticker", "pos", "date", "transition", "target_h1", *MODELS)
 
 
-MODELS = ["RandomWalk", "EWMA"]
+def _positions(spark, d):
+    days = _forecast(spark, d).where(F.col("pos") >= CONFIG.least_train).na.drop(subset=MODELS)
+    return backtest.positions(days, _returns(spark, d), MODELS)
 
 
 def _held(spark, d):
-    return backtest.with_benchmark(backtest.positions(_forecast(spark, d), _returns(spark, d), MODELS))
+    return backtest.with_benchmark(_positions(spark, d))
 
 
 def _scored(spark, d):
@@ -103,8 +111,44 @@ def _scored(spark, d):
     return rows.select("ticker", "pos", i.alias("i"), F.col("var_of_vol").alias("score"), "label")
 
 
-def _study(spark, d):
-    return Study(spark, tables.bars(spark, d), "ALL")
+def _vix(spark, d):
+    """What stands in for an index of implied volatility: a month's close-to-close volatility in percent."""
+    return _returns(spark, d).select("pos", "date", (rolling(F.stddev_samp, "r", 21) * (CONFIG.days_a_year**0.5 * 100)).alias("vix"))
+
+
+def _study_labels(spark, d):
+    rows = _returns(spark, d).where("r is not null").select("pos").join(_labels(spark, d).select("pos", "onset"), "pos", "left")
+    return rows.select("pos", F.coalesce("onset", F.lit(False)).alias("onset"))
+
+
+def _study_signals(spark, d):
+    """The study's signals that SQL can say, as causal z-scores on the days of returns."""
+    rows = _returns(spark, d).where("r is not null").select("ticker", "pos", "date").join(_rv(spark, d).select("pos", "log_rv"), "pos")
+    rows = rows.join(_vix(spark, d).select("pos", F.ln("vix").alias("vix")), "pos", "left").join(physics.cross_section(_panel_returns(spark, d)).select("pos", "corr_length"), "pos", "left")
+    rows = rows.withColumn("smooth", rolling(F.avg, "log_rv", 5))
+    made = rows.select("pos", zscore("smooth").alias("realized_vol"), zscore("vix").alias("VIX"), zscore("corr_length").alias("corr_length"))
+    return made.unpivot(["pos"], ["realized_vol", "VIX", "corr_length"], "signal", "value")
+
+
+def _factor_rows(spark, d):
+    """The matrix with log VIX and the features that SQL can say."""
+    rv, returns = _rv(spark, d), _panel_returns(spark, d)
+    cross = physics.cross_section(returns)
+    rows = _signals(spark, d).join(cross.select("pos", "corr_length"), "pos").join(physics.temperature(returns, rv, cross).select("pos", "temperature"), "pos")
+    return targets.model_matrix(rv, rows, _vix(spark, d))
+
+
+_STUDIES: dict[tuple, Study] = {}
+
+
+def _study(spark, d) -> Study:
+    """The study over the trade tables: part types are the sectors. Its wide steps are written once for a session and its files."""
+    bars = tables.bars(spark, d)
+    key = (spark.sparkContext.applicationId, *bars.inputFiles()[:1])
+    if key not in _STUDIES:
+        types = tuple(sorted(r.p_type for r in spark.read.parquet(f"{d}/part.parquet").select("p_type").distinct().where("p_type is not null").collect()))
+        _STUDIES[key] = Study(spark, bars, tables.MARKET, _vix(spark, d).where("vix is not null"), kept.fresh_folder(spark, "study"), types)
+    return _STUDIES[key]
 
 
 # ---- bars, their quality and alignment
@@ -117,7 +161,7 @@ def bars_daily(spark, d):
 
 @query(
     """select ticker, * from (unpivot (select ticker, sum((n > 1)::INTEGER)::BIGINT as duplicate_date, count(*) filter (least(open, high, low, close) <= 0) as nonpositive_price, count(*) filter (high + 1e-6 < greatest(open, close)) as high_below,
- count(*) filter (low - 1e-6 > least(open, close)) as low_above, count(*) filter (volume is null) as missing_value, count(*) filter (date - was > 7) as gap, count(*) filter (abs(ln(close / prev)) > 0.2) as extreme_return, count(*) filter (volume = 0) as zero_volume,
+ count(*) filter (low - 1e-6 > least(open, close)) as low_above, count(*) filter (open is null) as missing_open, count(*) filter (high is null) as missing_high, count(*) filter (low is null) as missing_low, count(*) filter (close is null) as missing_close, count(*) filter (volume is null) as missing_volume, count(*) filter (date - was > 7) as gap, count(*) filter (abs(ln(close / prev)) > 0.2) as extreme_return, count(*) filter (volume = 0) as zero_volume,
  (count(*) / greatest((max(date) - min(date)) * 252 / 365.0, 1) < 0.95)::BIGINT as low_coverage
  from (select *, row_number() over (partition by ticker, date order by close) as n, lag(date) over (partition by ticker order by date) as was, lag(close) over (partition by ticker order by date) as prev from bars) group by ticker) on * exclude (ticker) into name "check" value n)""",
     "",
@@ -130,6 +174,11 @@ def dq_findings(spark, d):
 ORACLE_SQL["dq_findings"] = ORACLE_SQL["dq_findings"].replace("select ticker, check, n from", 'select ticker, "check", n from').replace("select ticker, * from (unpivot", "select * from (unpivot")
 
 
+@query("select ticker, count(*) as rows, min(date) as first_date, max(date) as last_date, (max(date) - min(date)) * 252 / 365.0::DOUBLE as expected, count(*) / greatest((max(date) - min(date)) * 252 / 365.0::DOUBLE, 1) as coverage, count(*) filter (open is null) as missing_open, count(*) filter (high is null) as missing_high, count(*) filter (low is null) as missing_low, count(*) filter (close is null) as missing_close, count(*) filter (volume is null) as missing_volume, count(*) filter (volume = 0) as zero_volume, count(*) filter (least(open, high, low, close) <= 0) as nonpositive, count(*) filter (high < low) as inverted from bars group by ticker", "expected coverage", "ticker rows first_date last_date missing_open missing_high missing_low missing_close missing_volume zero_volume nonpositive inverted")
+def ticker_report(spark, d):
+    return quality.ticker_report(tables.bars(spark, d))
+
+
 @query("select ticker, date, since, date - since as days, row_number() over (partition by ticker order by date - since desc, date) as rank from (select ticker, date, lag(date) over (partition by ticker order by date) as since from bars) where date - since > 7 qualify rank <= 3", "", "ticker since date days rank")
 def dq_largest_gaps(spark, d):
     return quality.largest_gaps(tables.bars(spark, d))
@@ -344,6 +393,7 @@ def criticality(spark, d):
 
 @query()
 def physics_features(spark, d):
+    """Every feature of the study, and criticality of all eight signals."""
     return _study(spark, d).features
 
 
@@ -355,7 +405,7 @@ def feature_summary(spark, d):
 # ---- forecasts
 
 
-@query("select * from forecast", "RandomWalk EWMA", "pos date")
+@query("select * from forecast", "RandomWalk EWMA HAR", "pos date transition")
 def simple_forecasts(spark, d):
     return _forecast(spark, d)
 
@@ -369,11 +419,11 @@ def har_ols_one(spark, d):
     return forecasts.walk_forward_ols(targets.model_matrix(_rv(spark, d)), ["rv_d"], "target_h1", "HAR_d")
 
 
-@query()
+@query("select pos, m.date, a.HAR as HAR_h1, b.HAR_h5, c.HAR_h22 from matrix m join har_h1 a using (pos) join har_h5 b using (pos) join har_h22 c using (pos)", "HAR_h1 HAR_h5 HAR_h22", "pos date")
 def har_ols_walkforward(spark, d):
     out = targets.model_matrix(_rv(spark, d))
-    for h in (1, 5, 22):
-        out = forecasts.walk_forward_ols(out, ["rv_d", "rv_w", "rv_m"], f"target_h{h}", f"HAR_h{h}")
+    for h in CONFIG.horizons:
+        out = forecasts.walk_forward_ols(out, list(HAR), f"target_h{h}", f"HAR_h{h}")
     return out.select("pos", "date", "HAR_h1", "HAR_h5", "HAR_h22")
 
 
@@ -391,18 +441,19 @@ def walk_forward_residual(spark, d):
 
 
 @query()
-def enet_forecast(spark, d):
-    return forecasts.walk_forward_enet(targets.model_matrix(_rv(spark, d)), ["rv_d", "rv_w", "rv_m"], "target_h1", "enet")
+def study_forecasts(spark, d):
+    """Every model of the study for the next day: random walk, EWMA, GARCH, EGARCH, HAR, and elastic nets with features and VIX."""
+    return _study(spark, d).forecast(1)
 
 
 @query()
-def garch_forecast(spark, d):
-    return forecasts.walk_forward_garch(_returns(spark, d), 750, "garch")
+def study_forecasts_h5(spark, d):
+    return _study(spark, d).forecast(5)
 
 
 @query()
-def egarch_forecast(spark, d):
-    return forecasts.walk_forward_garch(_returns(spark, d), 750, "egarch", True)
+def study_forecasts_h22(spark, d):
+    return _study(spark, d).forecast(22)
 
 
 # ---- losses, tests, ranks
@@ -413,19 +464,41 @@ def forecast_metrics(spark, d):
     return metrics.evaluated(metrics.losses(_forecast(spark, d), MODELS))
 
 
-@query("select scope, n, mean, case when n >= 30 and v > 0 then mean / sqrt(v / n) end as dm from dm_var", "mean dm", "scope n")
+@query("select a, scope, n, mean, dm, p, case when p < 0.05 and dm < 0 then 'model helps' when p < 0.05 and dm > 0 then 'model hurts' else 'no significant difference' end as verdict from dm_p", "mean dm p", "a scope n verdict")
 def dm_stat(spark, d):
-    return metrics.diebold_mariano(metrics.losses(_forecast(spark, d), MODELS), [("EWMA", "RandomWalk")])
+    """The models that SQL can say against the random walk."""
+    return metrics.diebold_mariano(metrics.losses(_forecast(spark, d), MODELS), [("EWMA", "RandomWalk"), ("HAR", "RandomWalk")], better="model")
 
 
 @query()
 def dm_report(spark, d):
-    return metrics.diebold_mariano(metrics.losses(_forecast(spark, d), MODELS), [("EWMA", "RandomWalk")])
+    """Models with features against those without, at three horizons."""
+    return _study(spark, d).dm_report()
+
+
+@query()
+def study_forecast_metrics(spark, d):
+    """Losses of every model at three horizons."""
+    return _study(spark, d).forecast_metrics()
 
 
 @query("select r.feature, r.h, v.n, case when v.n >= 100 then r.ic end as ic, case when v.n >= 100 and v.v > 0 then v.mean / sqrt(v.v / v.n) end as t from (select feature, h, corr(rx, ry) as ic from ic_ranks group by feature, h) r join ic_var v using (feature, h)", "ic t", "feature h n")
 def ic_decay(spark, d):
-    return factors.ic_decay(_signals(spark, d), targets.forward_change(_rv(spark, d), (1, 5, 22)), SIGNALS, (1, 5, 22))
+    """The features that SQL can say, at all horizons."""
+    rows = _factor_rows(spark, d)
+    return factors.ic_decay(rows, targets.forward_change(rows.select("ticker", "pos", "date", "rv", "log_rv"), HORIZONS), list(FACTORS), HORIZONS)
+
+
+@query()
+def study_ic_decay(spark, d):
+    """All features of the study at all horizons."""
+    return _study(spark, d).factor_decay()
+
+
+@query()
+def study_ic_orthogonal(spark, d):
+    """The same of what the baseline leaves of the features."""
+    return _study(spark, d).factor_decay(True)
 
 
 @query(
@@ -451,18 +524,6 @@ def average_precision(spark, d):
     return metrics.average_precision(_scored(spark, d).withColumn("name", F.lit("var_of_vol")), ["name"])
 
 
-@query(
-    """select quantile_cont(auc, 0.025) as low, quantile_cont(auc, 0.975) as high, count(*) as draws from (select draw, (sum(rk) filter (label = 1) - sum(label) * (sum(label) + 1) / 2) / nullif(sum(label) * (count(*) - sum(label)), 0) as auc from
- (select draw, label, rank() over (partition by draw order by score) + (count(*) over (partition by draw, score) - 1) / 2 as rk from (select d as draw, k * 21 + j as slot, (d * 7919 + k * 104729 + d * k * 31) % greatest(1, n - 21) + j as i, n
- from (select count(*) as n from scored), range(0, 100) a(d), lateral (select unnest(range(0, ((n + 20) // 21)::BIGINT)) as k) b, range(0, 21) c(j)) x join scored using (i) where slot < n) group by draw) where auc is not null""",
-    "low high",
-    "draws",
-)
-def bootstrap_auc(spark, d):
-    rows = _scored(spark, d)
-    return metrics.bootstrap_auc(rows, metrics.block_draws(spark, rows.count(), 100))
-
-
 @query(
     """select quantile_cont(auc, 0.025) as low, quantile_cont(auc, 0.975) as high, count(*) as draws from (select draw, (sum(rk) filter (label = 1) - sum(label) * (sum(label) + 1) / 2) / nullif(sum(label) * (count(*) - sum(label)), 0) as auc from
  (select draw, label, rank() over (partition by draw order by score) + (count(*) over (partition by draw, score) - 1) / 2 as rk from (select d as draw, k * 21 + j as slot, (d * 7919 + k * 104729 + d * k * 31) % greatest(1, n - 21) + j as i, n
@@ -470,10 +531,8 @@ def bootstrap_auc(spark, d):
     "low high",
     "draws",
 )
-def bootstrap_auc_whole(spark, d):
-    """With all draws of the study."""
-    rows = _scored(spark, d)
-    return metrics.bootstrap_auc(rows, metrics.block_draws(spark, rows.count()))
+def bootstrap_auc(spark, d):
+    return metrics.bootstrap_auc(_scored(spark, d))
 
 
 # ---- factors
@@ -502,13 +561,19 @@ def monotonicity(spark, d):
 
 @query()
 def ic_summary(spark, d):
-    from .functions.win import renumbered
+    """All features of the study at five days, raw and of what the baseline leaves."""
+    return _study(spark, d).factor_summary()
+
+
+@query()
+def study_quantile_table(spark, d):
+    """All features of the study by quintile, with monotonicity."""
+    return _study(spark, d).quantile_table()
 
-    rows = renumbered(_signals(spark, d).na.drop())
-    changes = targets.forward_change(renumbered(_rv(spark, d).join(rows.select("ticker", "date"), ["ticker", "date"], "left_semi")), (5,))
-    raw = factors.ic_decay(rows, changes, ["acf1"], (5,))
-    rest = forecasts.residual(rows, "acf1", ["var_of_vol", "susceptibility"], "rest").select("ticker", "pos", F.col("rest").alias("acf1"))
-    return factors.ic_summary(raw, factors.ic_decay(rest, changes, ["acf1"], (5,)))
+
+@query()
+def study_feature_corr(spark, d):
+    return _study(spark, d).feature_corr()
 
 
 # ---- alarms and event studies
@@ -542,27 +607,43 @@ def alarm_episodes(spark, d):
     return events.episodes(events.alarms(held, "var_of_vol").withColumn("pos", F.col("day")))
 
 
-_METRICS = """select count(*) as onsets, count(lead) as detected, count(lead)::DOUBLE / nullif(count(*), 0) as detection_rate, avg(lead) as mean_lead, median(lead) as median_lead, (select count(*) from episodes) as episodes,
- (select count(*) from episodes e where not exists (select 1 from onsets o where o.onset_pos > e.first and o.onset_pos <= e.first + 40)) as false_episodes, (select count(*) from episodes) * 252 / (select count(*) from rv)::DOUBLE as episodes_a_year from first_leads"""
+_LEADS = """select s.signal, o.n as onsets, l.detected, l.detected::DOUBLE / nullif(o.n, 0) as detection_rate, l.mean_lead, l.median_lead, coalesce(e.n, 0) as episodes, coalesce(e.false, 0) as false_episodes, coalesce(e.false, 0)::DOUBLE / greatest(coalesce(e.n, 0), 1) as false_alarm_rate,
+ coalesce(e.n, 0) * 252 / o.days::DOUBLE as episodes_a_year from (select distinct signal from RINGING) s, (select count(*) filter (onset) as n, count(*) as days from study_labels) o
+ left join (select signal, count(lead) as detected, avg(lead) as mean_lead, median(lead) as median_lead from (select g.signal, d.pos, d.pos - min(e.first) as lead from (select distinct signal from RINGING) g, study_labels d left join EPISODES e on e.signal = g.signal and e.first >= d.pos - 40 and e.first < d.pos where d.onset group by g.signal, d.pos) group by signal) l on l.signal = s.signal
+ left join (select signal, count(*) as n, count(*) filter (not exists (select 1 from study_labels d where d.onset and d.pos > e.first and d.pos <= e.first + 40)) as false from EPISODES e group by signal) e on e.signal = s.signal"""
+_LEAD_COLUMNS = "detection_rate mean_lead median_lead false_alarm_rate episodes_a_year"
+
+
+@query(_LEADS.replace("RINGING", "sringing").replace("EPISODES", "sepisodes"), _LEAD_COLUMNS, "signal onsets detected episodes false_episodes")
+def lead_table(spark, d):
+    """Alarm metrics of the signals that SQL can say, in one plan."""
+    signals = _signals(spark, d).unpivot(["pos"], SIGNALS, "signal", "value").unionByName(_study_signals(spark, d).where("signal <> 'corr_length'"))
+    return events.alarm_metrics(signals, _study_labels(spark, d))
 
 
-@query(_METRICS, "detection_rate mean_lead median_lead episodes_a_year", "onsets detected episodes false_episodes")
+@query("select * from (" + _LEADS.replace("RINGING", "sringing").replace("EPISODES", "sepisodes") + ") where signal = 'var_of_vol'", _LEAD_COLUMNS, "signal onsets detected episodes false_episodes")
 def alarm_metrics(spark, d):
-    return events.alarm_metrics(_vov(spark, d), "var_of_vol", _labels(spark, d))
+    return events.alarm_metrics(_vov(spark, d).select(F.lit("var_of_vol").alias("signal"), "pos", F.col("var_of_vol").alias("value")), _study_labels(spark, d))
 
 
-@query()
+_MEDIANS = ("onsets", "detected", *_LEAD_COLUMNS.split(), "episodes", "false_episodes")
+
+
+@query("select " + ", ".join(f"median({c}) as {c}" for c in _MEDIANS) + " from (" + _LEADS.replace("RINGING", "cringing").replace("EPISODES", "cepisodes") + ")", " ".join(_MEDIANS), "")
 def chance_metrics(spark, d):
-    return events.chance_metrics(_vov(spark, d), "var_of_vol", _labels(spark, d))
+    return events.chance_metrics(_study_signals(spark, d).where("signal = 'realized_vol'"), _study_labels(spark, d))
 
 
 @query()
-def lead_table(spark, d):
-    out = None
-    for s in SIGNALS:
-        one = events.alarm_metrics(_signals(spark, d), s, _labels(spark, d)).withColumn("signal", F.lit(s))
-        out = one if out is None else out.unionByName(one)
-    return out
+def study_lead_table(spark, d):
+    """Realized volatility, VIX, criticality, self-excitation, criticality with VIX, and chance."""
+    return _study(spark, d).lead_table()
+
+
+@query()
+def study_lead_times(spark, d):
+    """The latest alarm of criticality before each onset."""
+    return _study(spark, d).lead_times()
 
 
 @query("select pos, (a + b) / 2 as combined from (select pos, max(value) filter (signal = 'acf1') as a, max(value) filter (signal = 'var_of_vol') as b from z group by pos) where a is not null and b is not null", "combined", "pos")
@@ -571,20 +652,14 @@ def combined_signal(spark, d):
     return made.where("acf1 is not null and var_of_vol is not null").select("pos", ((F.col("acf1") + F.col("var_of_vol")) / 2).alias("combined"))
 
 
-def _event_study(spark, d, **draws):
-    labels = _labels(spark, d)
-    sizes = labels.agg(F.count(F.lit(1)).alias("n"), F.count_if("onset").alias("o")).first()
-    return events.event_study(_z(spark, d), labels, events.placebo_days(spark, sizes.n, sizes.o, **draws))
+def _event_study(spark, d):
+    labels = _study_labels(spark, d)
+    return events.event_study(_study_signals(spark, d).where("value is not null"), labels, events.placebo_days(labels))
 
 
 @query("select signal, t::INTEGER as t, mean, onsets, low, high from study", "mean low high", "signal t onsets")
 def event_study(spark, d):
-    return _event_study(spark, d, draws=200)
-
-
-@query("select signal, t::INTEGER as t, mean, onsets, low, high from study_whole", "mean low high", "signal t onsets")
-def event_study_whole(spark, d):
-    """With all placebo draws of the study."""
+    """The study's signals that SQL can say, against all placebo draws."""
     return _event_study(spark, d)
 
 
@@ -594,22 +669,36 @@ def event_study_whole(spark, d):
     "signal first_t",
 )
 def first_movers(spark, d):
-    return events.first_movers(_event_study(spark, d, draws=200))
+    return events.first_movers(_event_study(spark, d))
+
+
+@query()
+def study_event_study(spark, d):
+    """All signals of the study against all placebo draws."""
+    return _study(spark, d).event_study()
+
+
+@query()
+def study_first_movers(spark, d):
+    return events.first_movers(_study(spark, d).event_study()).orderBy(F.asc_nulls_last("first_t"), "signal")
 
 
 @query(
-    "select signal, min(t) filter (stays and t <= 0)::INTEGER as first_t from (select signal, t, min(over_) over w = 1 and count(*) over w = 3 as stays from (select signal, t, coalesce(mean > high, false)::INTEGER as over_ from study_whole) window w as (partition by signal order by t rows between current row and 2 following)) group by signal",
-    "",
-    "signal first_t",
+    """select m.signal, m.t::INTEGER as t, m.mean, m.mean - 2 * m.s / sqrt(c.n) as low, m.mean + 2 * m.s / sqrt(c.n) as high, c.n, p.placebo from (select signal, t, avg(value) as mean, stddev_pop(value) as s from path_days, range(-40, 21) r(t) join z on z.pos = day + t where value is not null group by signal, t) m, (select nullif(count(*), 0) as n from path_days) c
+ left join (select signal, t, avg(value) as placebo from path_placebo, range(-40, 21) r(t) join z on z.pos = day + t where value is not null group by signal, t) p on p.signal = m.signal and p.t = m.t""",
+    "mean low high placebo",
+    "signal t n",
 )
-def first_movers_whole(spark, d):
-    """With all placebo draws of the study."""
-    return events.first_movers(_event_study(spark, d))
+def onset_path(spark, d):
+    labels = _study_labels(spark, d)
+    placebo = events.placebo_days(labels, 1, fwd=20, warm=0, each=CONFIG.path_placebo, last=0)
+    return events.onset_path(_z(spark, d), labels, placebo)
 
 
-@query("select signal, t::INTEGER as t, avg(value) as mean, avg(value) - 2 * stddev_pop(value) / sqrt(count(value)) as low, avg(value) + 2 * stddev_pop(value) / sqrt(count(value)) as high, count(value) as n from onsets, range(-40, 21) r(t) join z on z.pos = onset_pos + t where value is not null group by signal, t", "mean low high", "signal t n")
-def onset_path(spark, d):
-    return events.onset_path(_z(spark, d), _labels(spark, d))
+@query()
+def study_onset_path(spark, d):
+    """Criticality and self-excitation around onsets and placebo days."""
+    return _study(spark, d).onset_path()
 
 
 # ---- backtest
@@ -617,7 +706,7 @@ def onset_path(spark, d):
 
 @query("select * from held", "weight turnover r_next net", "model pos date")
 def strategy_returns(spark, d):
-    return backtest.positions(_forecast(spark, d), _returns(spark, d), MODELS)
+    return _positions(spark, d)
 
 
 @query("select model, pos, date, net, ln(abs(equity)) as log_equity, drawdown / (1 + abs(drawdown)) as drawdown from equity", "net log_equity drawdown", "model pos date")
@@ -653,7 +742,19 @@ def _tercile(spark, d):
     "model",
 )
 def pnl_attribution(spark, d):
-    return backtest.attribution(backtest.positions(_forecast(spark, d), _returns(spark, d), MODELS), _tercile(spark, d).drop("ticker"))
+    return backtest.attribution(_positions(spark, d), _tercile(spark, d).drop("ticker"))
+
+
+@query()
+def study_backtest(spark, d):
+    """Every model of the study, and holding."""
+    return _study(spark, d).backtested()
+
+
+@query()
+def study_attribution(spark, d):
+    """The same by hidden regime."""
+    return _study(spark, d).attribution()
 
 
 # ---- regimes, early warning, importance
@@ -666,39 +767,46 @@ def transition_matrix(spark, d):
 
 @query()
 def hmm_regimes(spark, d):
-    return regimes.regimes(targets.smoothed_vol(_rv(spark, d)))
+    """Regimes of all days, and the walk-forward chance of the highest."""
+    return _study(spark, d).regime_table
 
 
 @query()
 def hmm_state_volatility(spark, d):
-    return regimes.state_volatility(regimes.regimes(targets.smoothed_vol(_rv(spark, d))))
+    return regimes.state_volatility(_study(spark, d).regime_table)
 
 
 @query()
-def hmm_walkforward(spark, d):
-    return regimes.walk_forward_high(targets.smoothed_vol(_rv(spark, d)))
+def hmm_transition_matrix(spark, d):
+    return _study(spark, d).transition_matrix()
 
 
 @query()
-def logit_early_warning(spark, d):
-    rows = targets.smoothed_vol(targets.calm_mask(_labels(spark, d))).withColumn("valid", F.col("calm") & F.col("label").isNotNull())
-    made = regimes.walk_forward_logit(rows, ["vol"], "label", "valid", "score").where("score is not null")
-    scored = made.join(rows.select("ticker", "pos", "label"), ["ticker", "pos"]).withColumn("features", F.lit("vol_only"))
-    return metrics.auc(scored, ["features"]).join(metrics.average_precision(scored, ["features"]), "features")
+def early_warning(spark, d):
+    """Four sets of features: AUC with its band, average precision and the rate of events."""
+    return _study(spark, d).early_warning()
 
 
 @query()
 def state_importance(spark, d):
-    rows = targets.model_matrix(_rv(spark, d), _signals(spark, d))
-    onsets = _labels(spark, d).select("ticker", "date", "onset")
-    masked = targets.transition_mask(rows.join(onsets, ["ticker", "date"], "left").withColumn("onset", F.coalesce("onset", F.lit(False))))
-    return metrics.importance(masked, ["rv_d", "rv_w", "rv_m", *SIGNALS], "target_h1", "transition")
+    """All features: five days ahead near transitions and on calm days, one day ahead on all."""
+    return _study(spark, d).state_importance
 
 
 @query()
 def core_share(spark, d):
-    """The share of positive importance, near transitions, that features of the named mechanisms hold."""
-    return metrics.core_share(QUERIES["state_importance"](spark, d), list(CORE_FEATURES))
+    """The share of importance near transitions that features of the named mechanisms hold."""
+    return _study(spark, d).core_share()
+
+
+@query()
+def study_signal_chart(spark, d):
+    return _study(spark, d).signal_chart()
+
+
+@query()
+def study_regime_chart(spark, d):
+    return _study(spark, d).regime_chart()
 
 
 @query("select pos, date, rv_ann, case when count(*) over w = 5 then avg(rv_ann) over w end as rv_smooth from rv window w as (order by pos rows between 4 preceding and current row)", "rv_ann rv_smooth", "pos date")
@@ -718,9 +826,7 @@ def regime_chart(spark, d):
 
 @query("select event_type as ticker, date_trunc('hour', ts) as start, first(value order by ts, value) as open, max(value) as high, min(value) as low, last(value order by ts, value) as close, count(*) as n from events where value > 0 group by all", "", "ticker start open high low close n")
 def stream_hourly_bars(spark, d):
-    import uuid
-
-    return live.drained(live.window_bars(live.event_stream(spark, d)), f"hourly_{uuid.uuid4().hex}")
+    return live.drained(live.event_stream(spark, d), spark.read.parquet(f"{d}/events.parquet"), kept.fresh_folder(spark, "stream"))
 
 
 __all__ = ["ORACLE_SQL", "PHYSICS", "QUERIES"]

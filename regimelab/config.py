@@ -40,9 +40,17 @@ class Config:
     z_window: int = 252
     z_least: int = 126
 
-    def universe(self, tickers: list[str]) -> tuple[list[str], int]:
+    least_test: int = 250
+    placebo_draws: int = 1000
+    path_placebo: int = 500
+    importance_repeats: int = 10
+    trees: int = 300
+    hmm_rounds: int = 500
+    hmm_rounds_walk_forward: int = 300
+
+    def universe(self, tickers: list[str], sectors: tuple[str, ...] | None = None) -> tuple[list[str], int]:
         """The sectors that are there and the least number of live ones; with too few sectors, all tickers and a lower number."""
-        there = [t for t in self.sectors if t in tickers]
+        there = [t for t in (self.sectors if sectors is None else sectors) if t in tickers]
         if len(there) >= self.least_assets:
             return there, self.least_assets
         return list(tickers), max(2, min(self.least_assets, len(tickers)))
@@ -60,3 +68,13 @@ MECHANISMS = {
 }
 CORE_FEATURES = tuple(f for names in MECHANISMS.values() for f in names)
 AUXILIARY_FEATURES = ("hurst_vol", "temperature")
+
+# Names of feature columns, of models and of sets of features, as in the study's tables.
+PHYSICS = ("corr_length", "eig_max_frac", "entropy_eigen", "frac_eig_above_mp", "entropy_returns", "temperature", "susceptibility", "acf1", "var_of_vol", "hurst_vol", "hawkes_branching", "criticality")
+HAR = ("rv_d", "rv_w", "rv_m")
+VIX = "log_vix"
+COMPARED = (("HAR+Phys", "HAR"), ("HAR+VIX+Phys", "HAR+VIX"))
+WARNING_SETS = {"vol_only": ("vol",), "criticality": ("criticality",), "crit+vol": ("criticality", "vol"), "crit+hawkes+vol": ("criticality", "hawkes_branching", "vol")}
+EVENT_SIGNALS = ("criticality", "hawkes_branching", "corr_length", "entropy_eigen", "realized_vol", "VIX")
+LEAD_SIGNALS = ("realized_vol", "VIX", "criticality", "hawkes_branching", "crit+VIX")
+CHANCE = "(chance)"

@@ -177,14 +177,15 @@ def garch_fit(r: np.ndarray, asymmetric: bool) -> np.ndarray:
         return float(0.5 * (np.log(h) + (r - p[0]) ** 2 / h).sum())
 
     start = [r.mean(), 0.1 * math.log(v), 0.1, 1.5, 0.0] if asymmetric else [r.mean(), math.log(0.1 * v), 2.2, -2.2]
-    return unpack(nelder_mead(loss, np.array(start), 300, 1e-4)[0])
+    best, _ = nelder_mead(loss, np.array(start), 4000, 1e-6)
+    return unpack(nelder_mead(loss, best, 4000, 1e-6)[0])  # anew from there, with a fresh simplex
 
 
 def _densities(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
     return -0.5 * (np.log(2 * np.pi * var)[..., None, :] + (x[:, None] - mean[..., None, :]) ** 2 / var[..., None, :])
 
 
-def hmm_fit(x: np.ndarray, states: int = 3, restarts: int = 10, rounds: int = 100, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+def hmm_fit(x: np.ndarray, states: int = 3, restarts: int = 10, rounds: int = 500, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """Start, transitions, means, variances (states by rising mean) and log-likelihood of the best of several Gaussian chains, which run side by side."""
     rng = np.random.default_rng(seed)
     q = np.quantile(x, (np.arange(states) + 0.5) / states)
@@ -202,13 +203,13 @@ def hmm_fit(x: np.ndarray, states: int = 3, restarts: int = 10, rounds: int = 10
         a = start * dens[:, 0]
         for t in range(n):
             if t:
-                a = np.einsum("rj,rjk->rk", alpha[:, t - 1], trans) * dens[:, t]
+                a = (alpha[:, t - 1, None, :] @ trans)[:, 0] * dens[:, t]
             scale[:, t] = a.sum(1)
             alpha[:, t] = a / scale[:, t, None]
         like = np.log(scale).sum(1) + top.sum((1, 2))
         beta = np.ones_like(dens)
         for t in range(n - 2, -1, -1):
-            beta[:, t] = np.einsum("rjk,rk->rj", trans, dens[:, t + 1] * beta[:, t + 1]) / scale[:, t + 1, None]
+            beta[:, t] = (trans @ (dens[:, t + 1] * beta[:, t + 1])[:, :, None])[:, :, 0] / scale[:, t + 1, None]
         gamma = alpha * beta
         gamma /= gamma.sum(2, keepdims=True)
         pairs = np.einsum("rtj,rtk->rjk", alpha[:, :-1], dens[:, 1:] * beta[:, 1:] / scale[:, 1:, None]) * trans

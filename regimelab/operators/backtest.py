@@ -13,12 +13,15 @@ YEAR = float(CONFIG.days_a_year)
 
 
 def positions(forecasts: DataFrame, returns: DataFrame, models: list[str]) -> DataFrame:
-    """model, pos, date, weight, turnover, r_next, net. r_next is the next day's return on the full calendar; weights of days without one still count for turnover."""
+    """model, pos, date, weight, turnover, r_next, net. r_next is the next day's return on the full calendar, whose pos counts; weights of days without one still count for turnover.
+
+    forecasts: ticker, date and a column a model. returns: ticker, pos, date, r of every day.
+    """
     from ..functions.win import by_pos
 
-    ahead = returns.select("ticker", "pos", F.lead("r").over(by_pos()).alias("r_next"))
-    days = forecasts.join(ahead, ["ticker", "pos"], "left")
-    long = days.unpivot(["ticker", "pos", "date", "r_next"], models, "model", "forecast").where("forecast is not null")
+    ahead = returns.select("ticker", "date", "pos", F.lead("r").over(by_pos()).alias("r_next"))
+    days = forecasts.drop("pos").join(ahead, ["ticker", "date"])
+    long = days.unpivot(["ticker", "pos", "date", "r_next"], [f"`{m}`" for m in models], "model", "forecast").where("forecast is not null")
     weight = F.least(F.lit(CONFIG.most_leverage), CONFIG.target_vol / F.sqrt(F.exp("forecast") * YEAR))
     order = Window.partitionBy("model").orderBy("pos")
     out = long.withColumn("weight", weight).withColumn("turnover", F.coalesce(F.abs(F.col("weight") - F.lag("weight").over(order)), F.lit(0.0)))

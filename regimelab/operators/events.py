@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..functions.win import by_pos, quantile, renumbered
+from ..functions.win import quantile
 
 BACK = CONFIG.lookback
 
@@ -39,50 +39,56 @@ def lead_summary(alarmed: DataFrame, onsets: DataFrame, back: int = BACK) -> Dat
     return leads.join(F.broadcast(false)).join(F.broadcast(total)).select("onsets", "detection_rate", "median_lead", "alarms", (F.col("false_alarms") / F.nullif(F.col("alarms"), F.lit(0))).alias("false_alarm_rate"))
 
 
-def episodes(alarmed: DataFrame, gap: int = 5) -> DataFrame:
+def episodes(alarmed: DataFrame, gap: int = 5, key: str = "ticker") -> DataFrame:
     """Alarm days in runs with at most `gap` rows between: their first and last day and number."""
-    days = alarmed.where("alarm").select("ticker", "pos")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(by_pos())) > gap, F.lit(True))
-    runs = days.withColumn("_new", new.cast("int")).withColumn("episode", F.sum("_new").over(by_pos()))
-    return runs.groupBy("ticker", "episode").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("days"))
+    days, order = alarmed.where("alarm").select(key, "pos"), Window.partitionBy(key).orderBy("pos")
+    new = F.coalesce((F.col("pos") - F.lag("pos").over(order)) > gap, F.lit(True))
+    runs = days.withColumn("_new", new.cast("int")).withColumn("episode", F.sum("_new").over(order))
+    return runs.groupBy(key, "episode").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("days"))
 
 
-def alarm_metrics(signal: DataFrame, value: str, onsets: DataFrame, back: int = BACK) -> DataFrame:
-    """One row: onsets, detected, detection_rate, mean_lead, median_lead, episodes, false_episodes, episodes_a_year.
+def alarm_metrics(signals: DataFrame, onsets: DataFrame, back: int = BACK, compress: bool = True, q: float = CONFIG.alarm_quantile, n: int = CONFIG.alarm_window) -> DataFrame:
+    """A row per signal: onsets, detected, detection_rate, mean_lead, median_lead, episodes, false_episodes, false_alarm_rate, episodes_a_year.
 
-    Thresholds come from the signal without its gaps; leads count from the earliest episode that starts in the days before.
+    signals: signal, pos, value (long), all in one plan. Thresholds come from a signal's rows without its gaps, or with
+    compress=False from all of them; leads count from the earliest episode that starts in the days before. onsets: pos,
+    onset of every day of the study.
     """
-    compressed = renumbered(signal.where(F.col(value).isNotNull()).withColumn("day", F.col("pos")))
-    ringing = alarms(compressed, value).withColumn("pos", F.col("day"))
-    starts = episodes(ringing).select("first")
-    o = onsets.where("onset").select(F.col("pos").alias("onset_pos"))
-    met = o.join(starts, (F.col("first") >= F.col("onset_pos") - back) & (F.col("first") < F.col("onset_pos")), "left")
-    each = met.groupBy("onset_pos").agg((F.col("onset_pos") - F.min("first")).alias("lead"))
-    hit = each.agg(F.count(F.lit(1)).alias("onsets"), F.count("lead").alias("detected"), F.avg("lead").alias("mean_lead"), F.median("lead").alias("median_lead"))
-    useless = starts.join(o, (F.col("onset_pos") > F.col("first")) & (F.col("onset_pos") <= F.col("first") + back), "left_anti").agg(F.count(F.lit(1)).alias("false_episodes"))
-    total = starts.agg(F.count(F.lit(1)).alias("episodes"))
+    rows = signals.where("value is not null") if compress else signals
+    frame = Window.partitionBy("signal").orderBy("pos").rowsBetween(-n, -1)
+    bar = F.when(F.count("value").over(frame) >= n // 2, F.percentile("value", F.lit(q)).over(frame))
+    starts = episodes(rows.withColumn("alarm", F.coalesce(F.col("value") > bar, F.lit(False))), key="signal").select("signal", "first")
     days = onsets.agg(F.count(F.lit(1)).alias("days"))
-    out = hit.join(F.broadcast(useless)).join(F.broadcast(total)).join(F.broadcast(days))  # one row each
+    o = onsets.where("onset").select(F.col("pos").alias("onset_pos"))
+    names = signals.select("signal").distinct()
+    each = names.join(F.broadcast(o)).join(starts, ["signal"], "left")  # few signals, onsets and episodes
+    ahead = (F.col("first") >= F.col("onset_pos") - back) & (F.col("first") < F.col("onset_pos"))
+    each = each.groupBy("signal", "onset_pos").agg((F.col("onset_pos") - F.min(F.when(ahead, F.col("first")))).alias("lead"))
+    hit = each.groupBy("signal").agg(F.count(F.lit(1)).alias("onsets"), F.count("lead").alias("detected"), F.avg("lead").alias("mean_lead"), F.median("lead").alias("median_lead"))
+    useless = starts.join(F.broadcast(o), (F.col("onset_pos") > F.col("first")) & (F.col("onset_pos") <= F.col("first") + back), "left_anti").groupBy("signal").agg(F.count(F.lit(1)).alias("false"))
+    total = starts.groupBy("signal").agg(F.count(F.lit(1)).alias("all"))
+    out = names.join(hit, "signal", "left").join(useless, "signal", "left").join(total, "signal", "left").join(F.broadcast(days))  # days: one row
+    none = F.lit(0).cast("long")
+    out = out.select("signal", F.coalesce("onsets", none).alias("onsets"), F.coalesce("detected", none).alias("detected"), "mean_lead", "median_lead", F.coalesce("all", none).alias("episodes"), F.coalesce("false", none).alias("false_episodes"), "days")
     return out.select(
-        "onsets", "detected", (F.col("detected") / F.nullif(F.col("onsets"), F.lit(0))).alias("detection_rate"), "mean_lead", "median_lead", "episodes", "false_episodes",
-        (F.col("episodes") * float(CONFIG.days_a_year) / F.nullif(F.col("days"), F.lit(0))).alias("episodes_a_year"),
+        "signal", "onsets", "detected", (F.col("detected") / F.nullif(F.col("onsets"), F.lit(0))).alias("detection_rate"), "mean_lead", "median_lead", "episodes", "false_episodes",
+        (F.col("false_episodes") / F.greatest("episodes", F.lit(1))).alias("false_alarm_rate"), (F.col("episodes") * float(CONFIG.days_a_year) / F.nullif(F.col("days"), F.lit(0))).alias("episodes_a_year"),
     )
 
 
-def shifted(signal: DataFrame, value: str, shift: int) -> DataFrame:
-    """The signal moved forward in a circle, gaps and all."""
-    n = signal.agg(F.count(F.lit(1)).alias("n"))
-    rows = signal.select("ticker", "pos", value).join(F.broadcast(n))
-    return rows.select("ticker", F.pmod(F.col("pos") + shift, F.col("n")).cast("int").alias("pos"), value)
+def shifted(signal: DataFrame, onsets: DataFrame, shifts: tuple[int, ...]) -> DataFrame:
+    """A signal (pos, value) put on the days of onsets, moved forward in a circle by each shift, gaps and all: signal (the shift), pos, value."""
+    edge = onsets.agg(F.min("pos").alias("_low"), F.count(F.lit(1)).alias("_n"))  # one row; pos runs on without gaps
+    rows = onsets.select("pos").join(signal.select("pos", "value"), "pos", "left").join(F.broadcast(edge))
+    moved = rows.withColumn("signal", F.explode(F.array(*[F.lit(s) for s in shifts])))
+    return moved.select(F.col("signal").cast("string").alias("signal"), (F.col("_low") + F.pmod(F.col("pos") - F.col("_low") + F.col("signal"), F.col("_n"))).cast("int").alias("pos"), "value")
 
 
-def chance_metrics(signal: DataFrame, value: str, onsets: DataFrame, shifts: tuple[int, ...] = (500, 1000, 1500, 2000)) -> DataFrame:
-    """Medians of the alarm metrics of the circularly shifted signal."""
-    each = None
-    for s in shifts:
-        one = alarm_metrics(shifted(signal, value, s), value, onsets)
-        each = one if each is None else each.unionByName(one)
-    return each.agg(*[F.median(c).alias(c) for c in ("detection_rate", "mean_lead", "median_lead", "episodes", "false_episodes", "episodes_a_year")])
+def chance_metrics(signal: DataFrame, onsets: DataFrame, shifts: tuple[int, ...] = (500, 1000, 1500, 2000)) -> DataFrame:
+    """Medians of the alarm metrics of the circularly shifted signal. signal: pos, value."""
+    each = alarm_metrics(shifted(signal, onsets, shifts), onsets, compress=False)
+    whole = ("onsets", "detected", "episodes", "false_episodes")
+    return each.agg(*[F.median(F.col(c).cast("double") if c in whole else F.col(c)).alias(c) for c in each.columns if c != "signal"])
 
 
 def around(signals: DataFrame, days: DataFrame, back: int = BACK, fwd: int = 10) -> DataFrame:
@@ -91,17 +97,27 @@ def around(signals: DataFrame, days: DataFrame, back: int = BACK, fwd: int = 10)
     return signals.join(spread, "pos")
 
 
-def placebo_days(spark, n: int, onsets: int, draws: int = 1000, first: int = 292, a: int = 7919, b: int = 104729) -> DataFrame:
-    """draw, pos: as many days as there are onsets, drawn by integer arithmetic so that any engine draws the same."""
-    rows = spark.range(draws).select(F.col("id").alias("draw")).crossJoin(spark.range(max(onsets, 0)).select(F.col("id").alias("k")))  # sizes are parameters
-    return rows.select("draw", (first + F.pmod(F.col("draw") * a + F.col("k") * b + F.col("draw") * F.col("k") * 17, F.lit(max(1, n - 11 - first)))).cast("int").alias("pos"))
+def study_days(onsets: DataFrame, back: int = BACK, fwd: int = 10, warm: int = CONFIG.z_window) -> DataFrame:
+    """The onsets that have enough days before and after them."""
+    edge = onsets.agg(F.min("pos").alias("_low"), (F.max("pos") + 1).alias("_high"))  # one row
+    inside = (F.col("pos") - F.col("_low") > back + warm) & (F.col("pos") < F.col("_high") - fwd)
+    return onsets.where("onset").select("pos").join(F.broadcast(edge)).where(inside).select("pos")
+
+
+def placebo_days(onsets: DataFrame, draws: int = CONFIG.placebo_draws, back: int = BACK, fwd: int = 10, warm: int = CONFIG.z_window, each: int | None = None, last: int = 1, a: int = 7919, b: int = 104729) -> DataFrame:
+    """draw, pos: as many days as an event study has onsets (or `each`), drawn by integer arithmetic so that any engine draws the same."""
+    edge = onsets.agg(F.min("pos").alias("low"), (F.max("pos") + 1).alias("high"))
+    count = study_days(onsets, back, fwd, warm).agg(F.count(F.lit(1)).alias("onsets")) if each is None else onsets.agg(F.lit(each).cast("long").alias("onsets"))
+    size = edge.join(F.broadcast(count))  # one row each
+    base = onsets.sparkSession.range(draws).select(F.col("id").alias("draw")).join(F.broadcast(size)).where("onsets > 0")
+    rows = base.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("onsets") - 1)))
+    first, room = back + warm, F.greatest(F.col("high") - F.col("low") - fwd - last - (back + warm), F.lit(1))
+    return rows.select("draw", (F.col("low") + first + F.pmod(F.col("draw") * a + F.col("k") * b + F.col("draw") * F.col("k") * 17, room)).cast("int").alias("pos"))
 
 
-def event_study(signals: DataFrame, onsets: DataFrame, placebo: DataFrame, back: int = BACK, fwd: int = 10, first: int = 292) -> DataFrame:
+def event_study(signals: DataFrame, onsets: DataFrame, placebo: DataFrame, back: int = BACK, fwd: int = 10) -> DataFrame:
     """signal, t, mean over onsets, and the band of the placebo draws' means."""
-    n = onsets.agg((F.max("pos") + 1).alias("n"))
-    days = onsets.where("onset").select("pos").join(F.broadcast(n)).where((F.col("pos") > first) & (F.col("pos") < F.col("n") - fwd)).select("pos")
-    seen = around(signals, days, back, fwd).groupBy("signal", "t").agg(F.avg("value").alias("mean"), F.count("value").alias("onsets"))
+    seen = around(signals, study_days(onsets, back, fwd), back, fwd).groupBy("signal", "t").agg(F.avg("value").alias("mean"), F.count("value").alias("onsets"))
     drawn = around(signals, placebo, back, fwd).groupBy("signal", "t", "draw").agg(F.avg("value").alias("m"))
     band = drawn.groupBy("signal", "t").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return seen.join(band, ["signal", "t"], "left")
@@ -116,9 +132,11 @@ def first_movers(study: DataFrame, run: int = 3) -> DataFrame:
     return held.groupBy("signal").agg(F.min(F.when(F.col("stays") & (F.col("t") <= 0), F.col("t"))).alias("first_t"))
 
 
-def onset_path(signals: DataFrame, onsets: DataFrame, back: int = BACK, fwd: int = 20) -> DataFrame:
-    """signal, t, mean and two standard errors either side, over onsets."""
-    each = around(signals, onsets.where("onset").select("pos"), back, fwd)
-    out = each.groupBy("signal", "t").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("s"), F.count("value").alias("n"))
+def onset_path(signals: DataFrame, onsets: DataFrame, placebo: DataFrame, back: int = BACK, fwd: int = 20) -> DataFrame:
+    """signal, t, mean and two standard errors either side, over onsets with so many days around them; placebo: the mean over placebo days."""
+    days = study_days(onsets, back, fwd, 0)
+    n = days.agg(F.count(F.lit(1)).alias("n"))  # one row
+    out = around(signals, days, back, fwd).groupBy("signal", "t").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("s"))
     error = 2 * F.col("s") / F.sqrt(F.nullif(F.col("n").cast("double"), F.lit(0.0)))
-    return out.select("signal", "t", "mean", (F.col("mean") - error).alias("low"), (F.col("mean") + error).alias("high"), "n")
+    out = out.join(F.broadcast(n)).select("signal", "t", "mean", (F.col("mean") - error).alias("low"), (F.col("mean") + error).alias("high"), "n")
+    return out.join(around(signals, placebo, back, fwd).groupBy("signal", "t").agg(F.avg("value").alias("placebo")), ["signal", "t"], "left")

@@ -42,6 +42,7 @@ def ic_decay(features: DataFrame, changes: DataFrame, names: list[str], horizons
 
 
 def ic_summary(raw: DataFrame, orthogonal: DataFrame, h: int = 5) -> DataFrame:
-    a = raw.where(F.col("h") == h).select("feature", F.col("ic").alias("ic_raw"))
-    b = orthogonal.where(F.col("h") == h).select("feature", F.col("ic").alias("ic_orthogonal"))
+    """feature, and rank correlation and t at one horizon, raw and of what the baseline leaves; the best of the latter first."""
+    a = raw.where(F.col("h") == h).select("feature", F.col("ic").alias("ic_raw"), F.col("t").alias("t_raw"))
+    b = orthogonal.where(F.col("h") == h).select("feature", F.col("ic").alias("ic_orthogonal"), F.col("t").alias("t_orthogonal"))
     return a.join(b, "feature", "left").orderBy(F.desc("ic_orthogonal"), "feature")

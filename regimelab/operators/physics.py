@@ -16,44 +16,58 @@ from ..functions.win import by_pos, rolling, trailing, zscore
 W = CONFIG.window
 
 
-def correlations(returns: DataFrame, window: int = W) -> DataFrame:
-    """date, pos, a, b, rho of the `window` rows before the day, for pairs of tickers that have all of them and move."""
-    frame = by_pos().rowsBetween(-window, -1)
-    live = returns.withColumn("live", (F.count("r").over(frame) == window) & (F.stddev_samp("r").over(frame) > 0))
-    x = live.select("pos", "date", F.col("ticker").alias("a"), F.col("r").alias("x"), F.col("live").alias("live_a"))
-    y = live.select("pos", F.col("ticker").alias("b"), F.col("r").alias("y"), F.col("live").alias("live_b"))
-    both = x.join(y, "pos").where("a < b")
-    moving = Window.partitionBy("a", "b").orderBy("pos").rowsBetween(-window, -1)
-    return both.withColumn("rho", F.when(F.col("live_a") & F.col("live_b"), F.corr("x", "y").over(moving))).where("rho is not null").select("pos", "date", "a", "b", "rho")
+BLOCK = 128  # days of a block; each block gets the window before it too
+
+_COLLECTIVE = "pos int, date date, n_assets int, corr_length double, frobenius double, eig_max_frac double, entropy_eigen double, frac_eig_above_mp double, eig_sum double, eig_squares double"
+
+
+def collective(returns: DataFrame, window: int = W, least: int = CONFIG.least_assets) -> DataFrame:
+    """What the correlation matrix of the `window` rows before a day says, on days when `least` tickers have all of them and move.
+
+    pos, date, n_assets; corr_length (the mean correlation of pairs) and frobenius (the sum of squared entries);
+    eig_max_frac, entropy_eigen, frac_eig_above_mp, and the sum and sum of squares of all eigenvalues. Days are dealt in
+    blocks that overlap by the window, so a row travels to (window + BLOCK) / BLOCK blocks, whatever the number of pairs.
+    """
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        block = int(rows["block"].iloc[0])
+        wide = rows.pivot(index="pos", columns="ticker", values="r").sort_index()
+        days = rows.drop_duplicates("pos").set_index("pos")["date"].reindex(wide.index)
+        r, at = wide.to_numpy(float), wide.index.to_numpy()
+        upper, out = {}, []
+        for i in np.flatnonzero(at // BLOCK == block):
+            lo = np.searchsorted(at, at[i] - window)
+            x = r[lo:i]
+            if len(x) < window:
+                continue
+            live = np.isfinite(x).all(0)
+            x = x[:, live]
+            x = x[:, x.std(0) > 0]
+            k = x.shape[1]
+            if k < least:
+                continue
+            c = np.corrcoef(x.T)
+            if k not in upper:
+                upper[k] = np.triu_indices(k, 1)
+            pairs = c[upper[k]]
+            found = np.maximum(np.linalg.eigvalsh(c), 1e-12)
+            p, edge = found / found.sum(), (1 + math.sqrt(k / window)) ** 2
+            out.append((at[i], days.iloc[i], k, pairs.mean(), k + 2 * (pairs**2).sum(), found[-1] / k, -(p * np.log(p)).sum() / math.log(k), (found > edge).mean(), found.sum(), (found**2).sum()))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _COLLECTIVE.split(", ")])
+
+    of = F.sequence((F.col("pos") / BLOCK).cast("int"), ((F.col("pos") + window) / BLOCK).cast("int"))
+    spread = returns.select("ticker", "pos", "date", "r", F.explode(of).alias("block"))
+    return spread.groupBy("block").applyInPandas(solve, _COLLECTIVE)
 
 
 def cross_section(returns: DataFrame, window: int = W, least: int = CONFIG.least_assets) -> DataFrame:
-    """pos, date, n_assets, corr_length (the mean correlation of live pairs) and frobenius (the sum of squared entries of their matrix)."""
-    pairs = correlations(returns, window)
-    per_day = pairs.groupBy("pos", "date").agg(F.avg("rho").alias("corr_length"), F.sum(F.col("rho") * F.col("rho")).alias("squares"), F.count(F.lit(1)).alias("pairs"))
-    k = ((1 + F.sqrt(1 + 8.0 * F.col("pairs"))) / 2).cast("int")
-    return per_day.withColumn("n_assets", k).where(F.col("n_assets") >= least).select("pos", "date", "n_assets", "corr_length", (F.col("n_assets") + 2 * F.col("squares")).alias("frobenius"))
+    """pos, date, n_assets, corr_length and frobenius, as in `collective`."""
+    return collective(returns, window, least).select("pos", "date", "n_assets", "corr_length", "frobenius")
 
 
 def eigen_features(returns: DataFrame, window: int = W, least: int = CONFIG.least_assets) -> DataFrame:
-    """pos, n_assets, eig_max_frac, entropy_eigen, frac_eig_above_mp, and the sum and sum of squares of all eigenvalues."""
-
-    def solve(day: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(day["a"]) | set(day["b"]))
-        k, place = len(names), {n: i for i, n in enumerate(names)}
-        out = day[["pos", "date"]].head(1).assign(n_assets=k)
-        if k < least:
-            return out.iloc[:0].assign(eig_max_frac=0.0, entropy_eigen=0.0, frac_eig_above_mp=0.0, eig_sum=0.0, eig_squares=0.0)
-        c = np.eye(k)
-        i, j = day["a"].map(place).to_numpy(), day["b"].map(place).to_numpy()
-        c[i, j] = c[j, i] = day["rho"].to_numpy()
-        found = np.maximum(np.linalg.eigvalsh(c), 1e-12)
-        p = found / found.sum()
-        edge = (1 + math.sqrt(k / window)) ** 2
-        return out.assign(eig_max_frac=found[-1] / k, entropy_eigen=-(p * np.log(p)).sum() / math.log(k), frac_eig_above_mp=(found > edge).mean(), eig_sum=found.sum(), eig_squares=(found**2).sum())
-
-    schema = "pos int, date date, n_assets int, eig_max_frac double, entropy_eigen double, frac_eig_above_mp double, eig_sum double, eig_squares double"
-    return correlations(returns, window).groupBy("pos").applyInPandas(solve, schema)
+    """pos, date, n_assets, eig_max_frac, entropy_eigen, frac_eig_above_mp, eig_sum and eig_squares, as in `collective`."""
+    return collective(returns, window, least).drop("corr_length", "frobenius")
 
 
 def return_entropy(returns: DataFrame, window: int = W, bins: int = 10) -> DataFrame:
@@ -159,11 +173,11 @@ def criticality(features: DataFrame, signals: tuple[str, ...] = SIGNALS, against
     return held.withColumn("criticality", F.when(F.size("_z") > 0, F.aggregate("_z", F.lit(0.0), lambda a, x: a + x) / F.size("_z"))).drop("_z")
 
 
-def feature_table(rv: DataFrame, target_returns: DataFrame, panel_returns: DataFrame) -> DataFrame:
+def feature_table(rv: DataFrame, target_returns: DataFrame, panel_returns: DataFrame, least: int = CONFIG.least_assets) -> DataFrame:
     """ticker, pos, date and every feature."""
     keys = ["ticker", "pos", "date"]
-    cross = cross_section(panel_returns)
-    out = rv.select(*keys).join(cross.select("pos", "corr_length", "n_assets"), "pos", "left").join(eigen_features(panel_returns).select("pos", "eig_max_frac", "entropy_eigen", "frac_eig_above_mp"), "pos", "left")
+    cross = collective(panel_returns, least=least).select("pos", "n_assets", "corr_length", "eig_max_frac", "entropy_eigen", "frac_eig_above_mp")
+    out = rv.select(*keys).join(cross, "pos", "left")
     for part, names in (
         (return_entropy(target_returns), ["entropy_returns"]),
         (temperature(panel_returns, rv, cross), ["temperature"]),

@@ -32,7 +32,7 @@ def findings(bars: DataFrame, price: str = "close") -> DataFrame:
         "nonpositive_price": ("hard", whole & (F.least(*ohlc) <= 0)),
         "high_below": ("hard", F.col("high") + tol < F.greatest("open", "close")),
         "low_above": ("hard", F.col("low") - tol > F.least("open", "close")),
-        "missing_value": ("soft", ~whole | F.col("volume").isNull()),
+        **{f"missing_{c}": ("soft", F.col(c).isNull()) for c in (*ohlc, "volume")},
         "gap": ("soft", F.col("step") > 7),
         "extreme_return": ("soft", F.col("move") > CONFIG.extreme_return),
         "zero_volume": ("soft", F.col("volume") == 0),
@@ -45,6 +45,20 @@ def findings(bars: DataFrame, price: str = "close") -> DataFrame:
     return long.select("ticker", "check", named[F.col("check")].alias("severity"), "n")
 
 
+def ticker_report(bars: DataFrame) -> DataFrame:
+    """ticker, rows, first_date, last_date, expected (trading days of that span, roughly), coverage, nulls of each column, zero_volume, nonpositive and inverted (high under low) rows."""
+    ohlc = ["open", "high", "low", "close"]
+    columns = [c for c in (*ohlc, "adj_close", "volume") if c in bars.columns]
+    expected = F.datediff(F.max("date"), F.min("date")) * CONFIG.days_a_year / 365.0
+    none = F.lit(False)
+    for c in ohlc:
+        none = none | F.coalesce(F.col(c) <= 0, F.lit(False))
+    return bars.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), expected.alias("expected"), (F.count(F.lit(1)) / F.greatest(expected, F.lit(1.0))).alias("coverage"),
+        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in columns], F.count_if(F.col("volume") == 0).alias("zero_volume"), F.count_if(none).alias("nonpositive"), F.count_if(F.col("high") < F.col("low")).alias("inverted"),
+    )
+
+
 def require_clean(report: DataFrame) -> None:
     hard = report.where("severity = 'hard' and n > 0").limit(20).collect()
     if hard:

@@ -19,7 +19,7 @@ def regimes(smoothed: DataFrame, restarts: int = 10) -> DataFrame:
     def one(series: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values("pos")
         x = series["log_rv_smooth"].to_numpy(float)
-        start, trans, mean, var, _ = kernels.hmm_fit(x, CONFIG.states, restarts)
+        start, trans, mean, var, _ = kernels.hmm_fit(x, CONFIG.states, restarts, CONFIG.hmm_rounds)
         p = kernels.hmm_filter(x, start, trans, mean, var, smooth=True)
         return series.assign(regime_hmm=np.array(NAMES)[p.argmax(1)], P_Low=p[:, 0], P_Medium=p[:, 1], P_High=p[:, 2])
 
@@ -27,6 +27,17 @@ def regimes(smoothed: DataFrame, restarts: int = 10) -> DataFrame:
     return rows.groupBy("ticker").applyInPandas(one, "ticker string, pos int, date date, log_rv_smooth double, regime_hmm string, P_Low double, P_Medium double, P_High double")
 
 
+def fitted_transitions(smoothed: DataFrame, restarts: int = 10) -> DataFrame:
+    """ticker, now, Low, Medium, High: the transition matrix of one fit to all rows."""
+
+    def one(series: pd.DataFrame) -> pd.DataFrame:
+        _, trans, *_ = kernels.hmm_fit(series.sort_values("pos")["log_rv_smooth"].to_numpy(float), CONFIG.states, restarts, CONFIG.hmm_rounds)
+        return pd.DataFrame(trans, columns=list(NAMES)).assign(ticker=series["ticker"].iloc[0], now=list(NAMES))[["ticker", "now", *NAMES]]
+
+    rows = smoothed.select("ticker", "pos", "log_rv_smooth").na.drop()
+    return rows.groupBy("ticker").applyInPandas(one, "ticker string, now string, Low double, Medium double, High double")
+
+
 def transitions(labelled: DataFrame, label: str = "regime_hmm") -> DataFrame:
     """Shares of tomorrow's regime by today's."""
     from ..functions.win import by_pos
@@ -57,7 +68,7 @@ def walk_forward_high(smoothed: DataFrame, first: int = CONFIG.least_train, refi
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
         at, x = int(group["at"].iloc[0]), group["log_rv_smooth"].to_numpy(float)
-        start, trans, mean, var, _ = kernels.hmm_fit(x[:at], CONFIG.states, restarts, 60)
+        start, trans, mean, var, _ = kernels.hmm_fit(x[:at], CONFIG.states, restarts, CONFIG.hmm_rounds_walk_forward)
         p = kernels.hmm_filter(x, start, trans, mean, var) @ trans
         return pd.DataFrame({"ticker": group["ticker"], "pos": group["day"], "date": group["date"], "P_High_wf": p[:, -1]}).iloc[at:]
 
@@ -77,7 +88,7 @@ def walk_forward_logit(df: DataFrame, features: list[str], label: str, valid: st
                 continue
             if (i - first) % refit == 0 or model is None:
                 seen = np.flatnonzero(ok[:i])
-                if len(seen) >= 100 and len(set(y[seen])) == 2:
+                if len(set(y[seen])) == 2:
                     z, mean, size = kernels.standardised(x[seen])
                     model = kernels.logistic(z, y[seen]), mean, size
             if model is not None:

@@ -1,5 +1,6 @@
 """Properties of the operators on made series: closed forms, planted structure, and that no past value moves when the future does."""
 
+import datetime
 import math
 
 import numpy as np
@@ -71,13 +72,56 @@ def test_quality_findings(spark):
 def test_prices_from_csv(spark, tmp_path):
     (tmp_path / "VIX.csv").write_text("Date,Open,High,Low,Close,Adj Close,Volume\n2020-01-02,1,2,0.5,1.5,1.5,10\n2020-01-02,9,9,9,9,9,9\n2020-01-03,n/a,2,1,2,2,5\n")
     got = tables.read_prices(spark, str(tmp_path)).orderBy("date").collect()
-    assert [(r.ticker, str(r.date), r.open, r.close) for r in got] == [("VIX", "2020-01-02", 1.0, 1.5), ("VIX", "2020-01-03", None, 2.0)]
+    assert [(r.ticker, str(r.date), r.open, r.close) for r in got] == [("^VIX", "2020-01-02", 1.0, 1.5), ("^VIX", "2020-01-03", None, 2.0)]
     assert tables.read_prices(spark, str(tmp_path), dedupe=False).count() == 3
     assert tables.stem("^VIX") == "VIX" and tables.stem("BRK-B") == "BRK_B"
     out = f"{tmp_path}/out"
     tables.write_csv(spark.createDataFrame(got).select("ticker", "close"), out)
     assert tables.read_csv(spark, out, "ticker string, close double").count() == 2
-    assert tables.wide(spark.createDataFrame(got), ["VIX"], "close").columns == ["date", "VIX"]
+    assert tables.wide(spark.createDataFrame(got), ["^VIX"], "close").columns == ["date", "^VIX"]
+
+
+def test_prices_go_by_column_names(spark, tmp_path):
+    (tmp_path / "BTC_USD.csv").write_text("Date,Adj Close,Close,High,Low,Open,Volume\nTicker,BTC-USD,BTC-USD,BTC-USD,BTC-USD,BTC-USD,BTC-USD\n2020-01-02 00:00:00,5,4,9,1,2,70\n2020-01-03,6,5,9,1,4,80\n")
+    (tmp_path / "GSPC.csv").write_text("Date,Open,High,Low,Close,Adj Close,Volume\n2020-01-02,1,2,0.5,1.5,1.25,10\n")
+    (tmp_path / "OTHER.csv").write_text("Date,Volume,Open,Extra,High,Low,Close,Adj Close\n2020-01-02,7,1,x,2,0.5,1.5,1.25\n")
+    got = {(r.ticker, str(r.date)): (r.open, r.high, r.low, r.close, r.adj_close, r.volume) for r in tables.read_prices(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("BTC-USD", "2020-01-02"): (2, 9, 1, 4, 5, 70), ("BTC-USD", "2020-01-03"): (4, 9, 1, 5, 6, 80), ("^GSPC", "2020-01-02"): (1, 2, 0.5, 1.5, 1.25, 10), ("OTHER", "2020-01-02"): (1, 2, 0.5, 1.5, 1.25, 7),
+    }
+    assert tables.checked_prices(spark, str(tmp_path)).count() == 4
+    (tmp_path / "XLK.csv").write_text("Date,Open,High,Low,Close,Volume\n2020-01-02,1,2,0.5,1.5,10\n")
+    with pytest.raises(quality.DataQualityError, match="XLK.csv: no column Adj Close"):
+        tables.read_prices(spark, str(tmp_path))
+    assert tables.read_prices(spark, str(tmp_path), strict=False).where("ticker = 'XLK'").first().adj_close is None
+    (tmp_path / "XLK.csv").write_text("Date,Open,High,Low,Close,Adj Close,Volume\n2020-01-02,1,0.9,0.5,1.5,1.5,10\n")
+    with pytest.raises(quality.DataQualityError, match="high_below"):
+        tables.checked_prices(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        tables.read_prices(spark, str(tmp_path / "none"))
+
+
+def test_bars_take_first_and_last_by_order_line_and_price(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [("A", pd.Timestamp("2020-01-01").date() + pd.Timedelta(days=int(rng.integers(0, 4))), float(rng.integers(1, 9)), int(rng.integers(1, 6)), int(rng.integers(1, 3)), 1.0) for _ in range(200)]
+    got = tables.daily(spark.createDataFrame(rows, "ticker string, date date, px double, l_orderkey long, l_linenumber int, l_quantity double")).collect()
+    assert len(got) == 4
+    for r in got:
+        day = sorted((k, n, p) for _, d, p, k, n, _ in rows if d == r.date)
+        prices = [p for *_, p in day]
+        assert (r.open, r.high, r.low, r.close, r.volume) == (prices[0], max(prices), min(prices), prices[-1], len(prices))
+
+
+def test_kept_tables_are_made_once_and_anew_for_other_files(spark, tmp_path):
+    from regimelab.sources.kept import kept
+
+    made, source = [], f"file://{tmp_path}/in"
+    spark.range(3).write.parquet(source)
+    build = lambda: made.append(1) or spark.read.parquet(source)
+    assert [kept(spark, "t", [source], build).count() for _ in range(2)] == [3, 3] and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert kept(spark, "t", [source], build).count() == 5 and len(made) == 2
 
 
 def test_alignment_keeps_holes_and_voids_two_returns(spark):
@@ -157,7 +201,16 @@ def test_losses_and_tests(spark):
     rng = np.random.default_rng(3)
     lost = series(spark, a=rng.random(500), b=rng.random(500)).withColumn("transition", F.lit(False)).unpivot(["pos", "transition"], ["a", "b"], "model", "ql")
     ab, ba = (metrics.diebold_mariano(lost, [p]).where("scope = 'all'").first() for p in (("a", "b"), ("b", "a")))
-    assert abs(ab.dm + ba.dm) < 1e-9 and ab.p > 0.05 and ab.verdict == "no difference"
+    assert abs(ab.dm + ba.dm) < 1e-9 and ab.p > 0.05 and ab.verdict == "no significant difference"
+    worse = lost.withColumn("ql", F.when(F.col("model") == "b", F.col("ql") + 1).otherwise(F.col("ql")))
+    assert [metrics.diebold_mariano(worse, [p]).where("scope = 'all'").first().verdict for p in (("a", "b"), ("b", "a"))] == ["physics helps", "physics hurts"]
+    few = metrics.diebold_mariano(lost.where("pos < 20"), [("a", "b")]).where("scope = 'all'").first()
+    assert few.dm is None and few.p is None and few.verdict == "no significant difference"
+
+
+def test_only_rows_after_training_are_judged(spark):
+    days = series(spark, target_h1=np.zeros(900), m=np.ones(900)).withColumn("transition", F.lit(False))
+    assert metrics.losses(days, ["m"]).agg(F.min("pos"), F.count("pos")).first() == (750, 150)
 
 
 def test_rank_statistics_against_numpy(spark):
@@ -284,12 +337,108 @@ def test_backtest_against_pandas(spark):
     assert got["Buy&Hold"].ir is None and got["m"].days == 299
 
 
-def test_study_runs_from_bars_to_forecasts(spark, tmp_path):
-    study = Study(spark, tables.bars(spark, "/root/testdata/sf0.01"), "ALL", folder=f"file://{tmp_path}")
-    assert study.validated.count() == 7 * 9
-    assert study.features.count() == study.daily_rv.count() > 2000
-    out = study.forecast(enet=False, garch=False)
-    assert {"HAR", "EWMA", "RandomWalk"} <= set(out.columns) and out.where("HAR is not null").count() > 500
+def test_study_steps_guards_and_isolation(spark, tmp_path):
+    from regimelab import catalog
+
+    study = catalog._study(spark, "/root/testdata/sf0.01")
+    assert study.validated.count() == 7 * 13 and study.universe == (sorted(study.sectors), 6)
+    assert study.features.count() == study.returns.count() > 2000
+    names = set(study.matrix.columns)
+    assert {"log_vix", "hawkes_branching", "criticality"} <= names and "n_assets" not in names
+    short = Study(spark, study.bars.where("date < '1997-06-01'"), "ALL", sectors=study.sectors)
+    with pytest.raises(targets.TooFewRows):
+        short.masked  # noqa: B018
+    found = study.run({"fine": lambda s: s.labels.count(), "gone": lambda s: open("/nowhere"), "bad": lambda s: 1 / 0, "after": lambda s: s.universe})
+    assert found["fine"] == found["after"] == "done" and found["gone"].startswith("skipped") and found["bad"] == "failed: ZeroDivisionError: division by zero"
+    dirty = Study(spark, study.bars.withColumn("high", F.col("low") - 1), "ALL")
+    with pytest.raises(quality.DataQualityError):
+        dirty.panel  # noqa: B018
+
+
+def test_empty_columns_leave_the_matrix(spark):
+    n = 400
+    rv = series(spark, rv=np.exp(np.random.default_rng(0).normal(-9, 0.5, n))).withColumn("log_rv", F.ln("rv"))
+    features = series(spark, a=np.arange(float(n)), n_assets=np.ones(n)).withColumn("none", F.lit(None).cast("double"))
+    made = targets.model_matrix(rv, targets.without_empty(features))
+    assert "none" not in made.columns and made.count() == n - 20 - 22
+    with pytest.raises(targets.TooFewRows):
+        targets.require_rows(targets.model_matrix(rv, features), 1)
+
+
+def test_variances_are_carried_over_days_without_one(spark):
+    bars = gbm(300)
+    days = series(spark, "A", **bars).drop("pos").withColumn("open", F.when(F.dayofmonth("date") != 15, F.col("open")))
+    study = Study(spark, days, "A", sectors=())
+    got = study.feature_rv.orderBy("pos").toPandas()
+    assert got.pos.tolist() == list(range(1, 300)) and got.rv.notna().all() and study.daily_rv.count() < 300
+    hole = study.panel.where("open is null and pos > 1").agg(F.min("pos")).first()[0]
+    assert got.rv[hole - 1] == got.rv[hole - 2]
+
+
+def test_collective_features_against_pandas(spark):
+    rng = np.random.default_rng(2)
+    n, k = 400, 8
+    r = rng.normal(size=(n, k)) + rng.normal(size=(n, 1))
+    r[:150, 7], r[200, 3], r[250:330, 5] = np.nan, np.nan, 0.5
+    rows = [(f"t{j}", i, pd.Timestamp("2000-01-01").date(), None if np.isnan(r[i, j]) else float(r[i, j])) for i in range(n) for j in range(k)]
+    got = physics.collective(spark.createDataFrame(rows, "ticker string, pos int, date date, r double")).toPandas().set_index("pos")
+    for i in (63, 64, 127, 128, 129, 213, 214, 260, 263, 264, 320, 399):
+        x = r[i - 63 : i]
+        x = x[:, np.isfinite(x).all(0)]
+        x = x[:, x.std(0) > 0]
+        c = np.corrcoef(x.T)
+        e = np.linalg.eigvalsh(c)
+        assert got.n_assets[i] == x.shape[1] and abs(got.corr_length[i] - c[np.triu_indices(len(c), 1)].mean()) < 1e-12 and abs(got.eig_max_frac[i] - e[-1] / len(c)) < 1e-12
+    assert got.index.tolist() == list(range(63, n))
+
+
+def test_residuals_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 4))
+    y = {f"f{j}": x @ rng.normal(size=4) + rng.normal(size=900) for j in range(3)}
+    got = forecasts.residuals(series(spark, **{f"x{i}": x[:, i] for i in range(4)}, **y), list(y), [f"x{i}" for i in range(4)]).orderBy("pos").toPandas()
+    a = np.column_stack([np.ones(900), x])
+    for name, v in y.items():
+        for at in (750, 770, 771, 899):
+            start = 750 + (at - 750) // 21 * 21
+            assert abs(got[name][at] - (v[at] - a[at] @ np.linalg.lstsq(a[:start], v[:start], rcond=None)[0])) < 1e-9
+        assert got[name][:750].isna().all()
+
+
+def test_garch_is_at_a_maximum_on_a_real_series(spark):
+    from regimelab import catalog
+
+    r = np.array([v.r for v in catalog._returns(spark, "/root/testdata/sf0.01").where("r is not null").orderBy("pos").collect()])[:900] * 100
+    for asymmetric in (False, True):
+        p = kernels.garch_fit(r, asymmetric)
+
+        def loss(q):
+            h = np.maximum(kernels.garch_path(q, r, asymmetric)[:-1], 1e-12)
+            return 0.5 * (np.log(h) + (r - q[0]) ** 2 / h).sum()
+
+        best = loss(p)
+        for j in range(len(p)):
+            for step in (-0.02, 0.02):
+                q = p.copy()
+                q[j] += step * max(abs(q[j]), 0.05)
+                inside = q[1] > 0 and q[2] >= 0 and q[3] >= 0 and q[2] + q[3] < 1 if not asymmetric else abs(q[3]) < 1
+                assert not inside or loss(q) > best - 0.05
+
+
+def test_a_late_row_changes_no_closed_window(spark, tmp_path):
+    from regimelab.streaming import live
+
+    folder = f"file://{tmp_path}/in"
+    at = lambda hour, minute: datetime.datetime(2024, 1, 1, hour, minute)
+    first = [(at(1, 5), "a", 5.0), (at(1, 50), "a", 7.0), (at(9, 0), "a", 1.0)]
+    for rows in (first, [(at(1, 30), "a", 99.0), (at(12, 0), "a", 2.0)]):
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+        stream = live.event_stream(spark, folder)
+        live.appended(live.window_bars(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(f"file://{tmp_path}/out").orderBy("start").collect()
+    assert [(r.start.hour, r.open, r.high, r.n) for r in got] == [(1, 5.0, 7.0, 2)] or [(r.start.hour, r.high, r.n) for r in got] == [(1, 7.0, 2), (9, 1.0, 1)]
+    now = live.drained(live.event_stream(spark, folder), spark.read.parquet(f"{folder}/events.parquet"), f"file://{tmp_path}/all").collect()
+    assert {r.start.hour for r in now} == {1, 9, 12}
 
 
 def test_universe_falls_back_to_all_tickers():
@@ -299,41 +448,33 @@ def test_universe_falls_back_to_all_tickers():
     assert CONFIG.universe(["A", "B", "XLK"]) == (["A", "B", "XLK"], 3) and len(CORE_FEATURES) == 10
 
 
-def test_importance_queries_take_the_study_s_sizes_and_transition_rows(spark, monkeypatch):
-    import inspect
-
-    from regimelab import catalog
+def test_core_share_is_not_cut_above(spark):
+    rows = [("all", "acf1", 1.0), ("transition", "acf1", 1.0), ("transition", "var_of_vol", -0.5), ("transition", "rv_d", 1.0), ("transition", "rv_w", -3.0)]
+    imp = spark.createDataFrame(rows, "scope string, feature string, importance double")
+    assert metrics.core_share(imp, ["acf1", "var_of_vol"]).first().share == 0.25
+    assert metrics.core_share(imp.where("scope = 'all'"), ["acf1"]).first().share is None
 
-    whole, taken = inspect.signature(metrics.importance), {}
-    rows = [("all", "acf1", 1.0), ("all", "rv_d", 3.0), ("transition", "acf1", 1.0), ("transition", "rv_d", 1.0), ("calm", "rv_d", 1.0)]
 
-    def noted(*args, **options):
-        held = whole.bind(*args, **options)
-        held.apply_defaults()
-        taken.update(held.arguments)
-        return spark.createDataFrame(rows, "scope string, feature string, importance double")
+def test_importance_finds_the_column_that_matters(spark):
+    rng = np.random.default_rng(1)
+    x, z = rng.normal(size=900), rng.normal(size=900)
+    rows = series(spark, x=x, z=z, y=2 * x + 0.1 * rng.normal(size=900)).withColumn("near", F.col("pos") % 2 == 0)
+    got = {(r.scope, r.feature): r.importance for r in metrics.importance(rows, ["x", "z"], "y", {"all": None, "near": "near", "few": "pos > 890"}, repeats=3, trees=60).collect()}
+    assert set(got) == {(s, f) for s in ("all", "near") for f in ("x", "z")} and got["all", "x"] > 1 > 0.05 > abs(got["all", "z"])
 
-    monkeypatch.setattr(metrics, "importance", noted)
-    assert catalog.QUERIES["core_share"](spark, "/root/testdata/sf0.001").first().share == 0.5
-    assert (taken["repeats"], taken["trees"]) == (10, 300)
 
+def test_registered_queries_take_the_study_s_sizes(spark, monkeypatch):
+    import inspect
 
-def test_whole_resampling_takes_the_study_s_draws(spark, monkeypatch):
     from regimelab import catalog
     from regimelab.config import CONFIG
 
+    assert (CONFIG.bootstrap_draws, CONFIG.placebo_draws, CONFIG.importance_repeats, CONFIG.trees, CONFIG.hmm_rounds, CONFIG.hmm_rounds_walk_forward) == (500, 1000, 10, 300, 500, 300)
+    text = inspect.getsource(catalog) + inspect.getsource(Study)
+    assert not [w for w in ("draws=", "repeats=", "trees=", "rounds=", "restarts=") for line in text.splitlines() if w in line and "CONFIG." not in line]
     drawn = []
-
-    def noted(make):
-        def run(*args, **options):
-            out = make(*args, **options)
-            drawn.append(out.agg(F.count_distinct("draw")).first()[0])
-            return out
-
-        return run
-
-    monkeypatch.setattr(metrics, "block_draws", noted(metrics.block_draws))
-    monkeypatch.setattr(events, "placebo_days", noted(events.placebo_days))
-    for name in ("bootstrap_auc_whole", "event_study_whole", "first_movers_whole"):
-        catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
-    assert drawn == [CONFIG.bootstrap_draws, 1000, 1000]
+    monkeypatch.setattr(events, "placebo_days", lambda *a, _of=events.placebo_days, **k: drawn.append(_of(*a, **k)) or drawn[-1])
+    catalog.QUERIES["event_study"](spark, "/root/testdata/sf0.01")
+    assert drawn[0].agg(F.count_distinct("draw")).first()[0] == 1000
+    scored = spark.createDataFrame([(i, float(i % 7), i % 3 == 0) for i in range(200)], "i long, score double, label boolean").withColumn("label", F.col("label").cast("int"))
+    assert metrics.bootstrap_auc(scored).first().draws == 500
