@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unclashed(rows: DataFrame) -> DataFrame:
+    """rows with a node of its own for each pair of node and check, the halves of a 128-bit hash: nodes that stand for two pairs, if ever, are hashed anew with their checks."""
+    twice = written(rows.where("node is not null").select("node", "check").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("pairs")).where("pairs > 1").select("node"), "clashes")
+    if twice.isEmpty():
+        return rows
+    mark = twice.withColumn("clash", F.lit(True))
+    return rows.join(mark, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("clash")
+
+
 def replaced(old: DataFrame, df: DataFrame, name: str) -> DataFrame:
     """df, which reads the written table old, as a table of its own; old goes."""
     out = written(df, name)

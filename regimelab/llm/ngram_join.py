@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, U64, complete, gram_hashes, mix, parts, slices, small_batches, trim, with_totals, words, written
+from .common import MULTIPLIERS, U64, complete, gram_hashes, mix, parts, slices, small_batches, trim, unclashed, with_totals, words, written
 from .components import components, forest, verdicts
 
 COORDINATES, DEPTH, LEAF = 64, 4, 64
@@ -63,8 +63,10 @@ def gram_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(row, np.arange(len(sizes) + 1))
 
 
-def _node(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(grams: np.ndarray) -> tuple[int, int]:
+    """A set's node and check: the halves of 128 bits of its hash."""
+    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _sketches(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -85,9 +87,9 @@ def _features(n: int):
             for part in slices(batch, "text", 2 << 20):
                 grams, offsets = gram_sets(part.column("text"), n)
                 sizes = np.diff(offsets)
-                nodes = [_node(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+                pairs = np.array([_digest(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.int64).reshape(-1, 2)
                 sketches = _sketches(grams, offsets)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "node": pa.array(nodes, pa.int64()), "n_grams": pa.array(sizes, pa.int64()), "sketch": pa.array([s.tobytes() for s in sketches], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "node": pa.array(pairs[:, 0]), "check": pa.array(pairs[:, 1]), "n_grams": pa.array(sizes, pa.int64()), "sketch": pa.array([s.tobytes() for s in sketches], pa.binary())})
         trim()
 
     return rows
@@ -189,12 +191,12 @@ def _row_sets(n: int):
                 part = part.take(pa.array(fresh, pa.int64()))
                 grams, offsets = gram_sets(part.column("text"), n)
                 sets = [grams[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-                nodes, right = part.column("node").to_pylist(), np.zeros(len(sets), bool)
-                for k, (s, node) in enumerate(zip(sets, nodes)):
-                    if node not in sent and _node(s) == node:
+                nodes, checks, right = part.column("node").to_pylist(), part.column("check").to_pylist(), np.zeros(len(sets), bool)
+                for k, (s, node, check) in enumerate(zip(sets, nodes, checks)):
+                    if node not in sent and _digest(s)[1] == check:
                         right[k] = True
                         sent.add(node)
-                out = part.drop_columns(["text"]).append_column("grams", pa.array([s.tobytes() for s in sets], pa.binary()))
+                out = part.drop_columns(["text", "check"]).append_column("grams", pa.array([s.tobytes() for s in sets], pa.binary()))
                 yield out.filter(pa.array(right))
 
     return rows
@@ -284,9 +286,9 @@ def joined(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     known = texts.where(F.col("doc_id").isNotNull())
     small_batches(docs.sparkSession)
-    features = written(known.mapInArrow(_features(n), "doc_id long, node long, n_grams long, sketch binary"), "features")
+    features = unclashed(written(known.mapInArrow(_features(n), "doc_id long, node long, check long, n_grams long, sketch binary"), "features"))
     some = features.where("n_grams > 0")
-    classes = written(some.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("docs"), F.first("n_grams").alias("n_grams"), F.first("sketch").alias("sketch")), "classes")
+    classes = written(some.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("docs"), F.first("check").alias("check"), F.first("n_grams").alias("n_grams"), F.first("sketch").alias("sketch")), "classes")
     groups = written(_candidates(classes, threshold, recall), "groups")
 
     held = groups.join(classes.drop("sketch"), "node")
@@ -300,7 +302,7 @@ def joined(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     placed = placed.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.col("group")))
     placed = placed.withColumn("large", F.col("blocks") > 1)
-    sets = known.join(held.select("node", F.col("class_id").alias("doc_id")), "doc_id").mapInArrow(_row_sets(n), "doc_id long, node long, grams binary")
+    sets = known.join(held.select("node", "check", F.col("class_id").alias("doc_id")), "doc_id").mapInArrow(_row_sets(n), "doc_id long, node long, grams binary")
     met = placed.select("node", "group", "docs", "block", "i", "j", "bin", "large").join(sets.select("node", "grams"), "node")
     linked = written(met.groupBy("large", "bin", "i", "j").applyInArrow(_linked(threshold), "a long, links long, b long"), "links")
 

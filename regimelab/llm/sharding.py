@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import U64, mix, parts
+from .common import U64, mix, parts, written
 
 NULL_KEY = 0x5EED
 RUN = 4096
@@ -38,10 +38,10 @@ def jump_hash(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _shards(buckets: int):
-    @pandas_udf("int")
-    def shard_of(key: pd.Series) -> pd.Series:
-        filled = key.fillna(NULL_KEY).astype("int64").to_numpy()
-        return pd.Series(jump_hash(mix(filled.view(np.uint64)), buckets).astype(np.int32))
+    @pandas_udf("shard int, grown_shard int")
+    def shard_of(key: pd.Series) -> pd.DataFrame:
+        keys = mix(key.fillna(NULL_KEY).astype("int64").to_numpy().view(np.uint64))
+        return pd.DataFrame({"shard": jump_hash(keys, buckets).astype(np.int32), "grown_shard": jump_hash(keys, buckets + 1).astype(np.int32)})
 
     return shard_of
 
@@ -62,12 +62,9 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     # Equal rows meet as a count, before anything is dealt out by shard: a key that holds a third of the rows is one row.
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     buckets = parts(docs.count(), n_shards * 200_000, 8)
-    rows = rows.select(
-        "*",
-        _shards(n_shards)("doc_id").alias("shard"),
-        _shards(n_shards + 1)("doc_id").alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int").alias("bucket"),
-    )
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int").alias("bucket")
+    # Texts are read once: what is left of them is some 40 bytes a row, which is written and read twice.
+    rows = written(rows.select("*", _shards(n_shards)("doc_id").alias("to"), bucket).select("doc_id", "size", "text_crc32", "n", "to.shard", "to.grown_shard", "bucket"), "shards")
     held = rows.groupBy("shard", "bucket").agg(F.sum("n").alias("held"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("shard", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))

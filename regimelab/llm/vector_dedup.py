@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import parts, unclashed, written
 from .components import forest, verdicts
 
 LEAST_SHARDS, SHARD_BYTES = 8, 32 << 20  # bytes of a shard's vectors in double precision, whatever their length
@@ -212,18 +212,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A hash and the doubles of each vector; null for one that can have no link."""
     for batch in batches:
         column = batch.column("embedding")
-        nodes, blobs = [], []
+        nodes, checks, blobs = [], [], []
         offsets, values = column.offsets.to_numpy(), column.values
         numbers = pa.compute.fill_null(values, np.nan).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
         for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), column.is_valid().to_pylist()):
             vector = numbers[a:b]
             if ok and len(vector) and np.isfinite(vector).all() and vector.any():
                 blobs.append(vector.tobytes())
-                nodes.append(xxhash.xxh3_64_intdigest(blobs[-1]) - (1 << 63))
+                digest = xxhash.xxh3_128_digest(blobs[-1])
+                nodes.append(int.from_bytes(digest[:8], "little", signed=True))
+                checks.append(int.from_bytes(digest[8:], "little", signed=True))
             else:
                 blobs.append(None)
                 nodes.append(None)
-        yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "node": pa.array(nodes, pa.int64()), "vector": pa.array(blobs, pa.binary())})
+                checks.append(None)
+        yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "node": pa.array(nodes, pa.int64()), "check": pa.array(checks, pa.int64()), "vector": pa.array(blobs, pa.binary())})
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -287,7 +290,7 @@ def linked(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", v
     columns are ignored, whatever their names.
     """
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
-    features = written(rows.mapInArrow(_features, "vec_id long, node long, vector binary"), "vectors")
+    features = unclashed(written(rows.mapInArrow(_features, "vec_id long, node long, check long, vector binary"), "vectors"))
     usable = features.where(F.col("vec_id").isNotNull() & F.col("node").isNotNull())
     classes = usable.groupBy("node").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("docs"), F.first("vector").alias("vector"))
     classes = written(classes.withColumn("dim", F.octet_length("vector")), "classes")

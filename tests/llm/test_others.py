@@ -114,6 +114,16 @@ def test_a_block_that_fails_its_audit_is_compared_with_all():
     assert set(zip(*vector_dedup.within(cut, queries, 0.9, audit))) == want
 
 
+def test_nodes_that_clash_become_two(spark):
+    from regimelab.llm.common import unclashed
+
+    rows = [(1, 10, 100), (2, 10, 100), (3, 10, 101), (4, 11, 100), (5, None, None)]
+    got = {r.id: r.node for r in unclashed(spark.createDataFrame(rows, "id int, node long, check long")).collect()}
+    assert got[1] == got[2] != got[3] and got[4] == 11 and got[5] is None and len({got[1], got[3], got[4], 10}) == 4
+    plain = [r for r in rows if r[0] != 3]
+    assert sorted(r.node or 0 for r in unclashed(spark.createDataFrame(plain, "id int, node long, check long")).collect()) == [0, 10, 10, 11]
+
+
 def test_components_of_long_and_wide_graphs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 200)] + [(400, 401), (401, 400), (500, 500), (450, 399)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
