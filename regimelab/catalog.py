@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import CONFIG, HAR, PHYSICS
+from .config import CONFIG, HAR
 from .functions.win import rolling, zscore
 from .operators import backtest, estimators, events, factors, forecasts, metrics, physics, quality, regimes, targets
 from .oracle import FACTORS, HORIZONS, sql
@@ -829,4 +829,4 @@ def stream_hourly_bars(spark, d):
     return live.drained(live.event_stream(spark, d), spark.read.parquet(f"{d}/events.parquet"), kept.fresh_folder(spark, "stream"))
 
 
-__all__ = ["ORACLE_SQL", "PHYSICS", "QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES"]
