@@ -123,8 +123,12 @@ class _Batch:
             anchors.append(at + a[head])
             hashes.append(grams[a[head]])
         none = np.zeros(0, np.int64)
-        self.anchor, self.first, self.last = (np.concatenate([none, *x]) for x in (anchors, firsts, lasts))
-        self.hash = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        anchor, first, last = (np.concatenate([none, *x]) for x in (anchors, firsts, lasts))
+        hashed = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        # Where a chunk's end parted a run it is one again: rows come in another order at each look, and pieces must not depend on it.
+        whole = np.ones(len(anchor), bool)
+        whole[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != last[:-1] + 1)
+        self.anchor, self.first, self.last, self.hash = anchor[whole], first[whole], last[np.append(whole[1:], True)[: len(last)]], hashed[whole]
 
     def records(self, buckets: int) -> tuple[Records, np.ndarray, np.ndarray]:
         found = Records(self.hash, buckets)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +285,24 @@ def test_suffixes_against_a_plain_scan(docs, monkeypatch, many):
     assert sorted(have, key=repr) == sorted(want, key=repr)
 
 
+def test_suffixes_do_not_depend_on_the_order_of_rows_at_a_look(spark, monkeypatch):
+    looks = {}
+    monkeypatch.setattr(suffix_dedup, "looked_at", lambda docs, id_col, text_col, first, second, meet_second, last, *_: looks.update(first=first, second=second, meet=meet_second, last=last))
+    suffix_dedup.deduplicated(spark.createDataFrame([], "doc_id long, text string"))
+    usable = [(r[0], r[1] or "") for r in ROWS if r[0] is not None and len(r[1] or "") < 4000]
+    there = pa.table({"doc_id": [r[0] for r in usable], "text": [r[1] for r in usable]})
+    back = there.take(list(range(len(usable)))[::-1])
+
+    def outcome(chunk, one, two, three):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        hits = exchange.meet(1 << 60)(looks["first"](one, 0, 1))
+        sent = looks["second"](two, hits, 0, 1)
+        return sorted(map(repr, looks["last"](three, pa.concat_tables([hits, looks["meet"](sent)]), 1).to_pylist()))
+
+    want = outcome(1 << 20, there, there, there)  # no chunk ends
+    assert outcome(1000, there, there, there) == outcome(1000, there, back, there) == outcome(1000, there, there, back) == want
+
+
 def test_bytes_decide_where_hashes_clash(monkeypatch):
     rng = np.random.default_rng(6)
     data = rng.integers(97, 99, 400).astype(np.uint8)
