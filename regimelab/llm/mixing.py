@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -44,7 +45,9 @@ def _copies():
     def copies(u: pd.Series, rate: pd.Series) -> pd.Series:
         return pd.Series(poisson_quantile(u.to_numpy(np.float64), rate.to_numpy(np.float64)))
 
-    return copies
+    # Its values are fixed; but a filter on a deterministic column is put below it with a copy of the function, and each
+    # copy takes a Python worker of its own for every running task, which then stays for the stages that follow.
+    return copies.asNondeterministic()
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -85,7 +88,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     known = F.concat(F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.lit("+")), name)
     join_col = column_name(docs, "source_key")
     if len(held) <= MOST_BROADCAST:
-        local = spark.createDataFrame([(("-" if r.source is None else "+") + (r.source or ""), r.rate) for r in held], f"`{join_col}` string, `{rate}` double")
+        # From Arrow, as a list of rows would go through Python workers and a second daemon on each executor.
+        keys = [("-" if r.source is None else "+") + (r.source or "") for r in held]
+        local = spark.createDataFrame(pa.table({join_col: pa.array(keys, pa.string()), rate: pa.array([r.rate for r in held], pa.float64())}))
         rated = docs.withColumn(join_col, known).join(F.broadcast(local), join_col, "left").drop(join_col)
     else:  # too many sources: an equi-join, where the rows of a hot source go to SALTS tasks
         side = table.select(F.concat(F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce("source", F.lit(""))).alias(join_col), F.col("rate").alias(rate), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))

@@ -137,6 +137,13 @@ def test_mixing_spreads_the_copies_of_one_id(spark):
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def test_mixing_counts_copies_in_one_python_worker_a_task(docs, monkeypatch):
+    for most in (mixing.MOST_BROADCAST, 1):
+        monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
+        plan = mixing.mixed(docs, extras=True)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
 def test_mixing_salted_join_gives_the_same(docs, monkeypatch):
     a = mixing.mixed(docs, extras=True).groupBy("doc_id", "source").count().toPandas()
     monkeypatch.setattr(mixing, "MOST_BROADCAST", 1)
